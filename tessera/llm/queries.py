@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contacts_fold, contamination, languages, tokenize
+from tessera.llm import contacts_fold, contamination, languages, near_duplicates, site_lines, tokenize
 from tessera.sources.tables import table
 
 
@@ -19,6 +19,23 @@ def p1_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contacts_fold.collapsed(table(spark, sf_dir, "page_contacts"), table(spark, sf_dir, "pages"))
 
 
+def _site_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"), table(spark, sf_dir, "crawls")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_lines(*_site_tables(spark, sf_dir))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content, pages, crawls = _site_tables(spark, sf_dir)
+    return site_lines.without_lines(content, site_lines.repeated_lines(content, pages, crawls))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pages(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -38,6 +55,9 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_contacts": p1_contacts,
+    "p2_found": p2_found,
+    "p2_text": p2_text,
+    "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
@@ -52,7 +72,26 @@ WITH c AS (
   WHERE c.kind IS NOT NULL AND c.value IS NOT NULL AND p.crawl_id IS NOT NULL AND c.id IS NOT NULL),
 g AS (SELECT *, min(id) OVER (PARTITION BY crawl_id, k, v) AS first_id, count(*) OVER (PARTITION BY crawl_id, k, v) AS copies FROM c)
 """
+_LINES = r"""
+WITH l AS (
+  SELECT c.page_id, lower(k.target_domain) AS source, u.n - 1 AS line_no, c.raw_markdown,
+         regexp_replace(regexp_replace(lower(regexp_replace(string_split(c.raw_markdown, chr(10))[u.n], '\[([^\]]*)\]\([^)]*\)', '\1', 'g')), '\p{Nd}+', '0', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS form
+  FROM page_content c JOIN pages p ON p.id = c.page_id JOIN crawls k ON k.id = p.crawl_id,
+       LATERAL (SELECT unnest(generate_series(1, len(string_split(c.raw_markdown, chr(10))))) AS n) u
+  WHERE k.target_domain IS NOT NULL),
+r AS (SELECT source, form FROM l WHERE length(form) >= 8 GROUP BY ALL HAVING count(DISTINCT page_id) >= 6),
+f AS (SELECT l.page_id, l.line_no FROM l JOIN r USING (source, form))
+"""
 ORACLE: dict[str, str] = {
+    "p2_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM f",
+    "p2_text": _LINES
+    + """
+SELECT c.page_id, CASE WHEN c.raw_markdown IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(t.removed, 0)::INTEGER AS removed
+FROM page_content c LEFT JOIN (
+  SELECT s.page_id, string_agg(s.line, chr(10) ORDER BY s.n) FILTER (f.line_no IS NULL) AS text, count(f.line_no) AS removed
+  FROM (SELECT page_id, unnest(string_split(raw_markdown, chr(10))) AS line, unnest(generate_series(0, len(string_split(raw_markdown, chr(10))) - 1)) AS n FROM page_content) s
+  LEFT JOIN f ON f.page_id = s.page_id AND f.line_no = s.n GROUP BY s.page_id) t USING (page_id)
+""",
     "p1_found": _FOLDED + "SELECT first_id, id AS copy_id FROM g WHERE id <> first_id",
     "p1_contacts": _FOLDED + "SELECT id, crawl_id, kind, value, copies FROM g WHERE id = first_id",
 }
