@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contacts_fold, contamination, languages, near_duplicates, site_lines, tokenize
+from tessera.llm import contacts_fold, contamination, languages, main_content, near_duplicates, site_lines, tokenize
 from tessera.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(content, site_lines.repeated_lines(content, pages, crawls))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content.main_body(table(spark, sf_dir, "page_content"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pages(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_contacts": p1_contacts,
     "p2_found": p2_found,
     "p2_text": p2_text,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
