@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contacts_fold, contamination, languages, main_content, near_duplicates, site_lines, tokenize
+from tessera.llm import contacts_fold, contamination, languages, main_content, near_duplicates, residue, site_lines, tokenize
 from tessera.sources.tables import table
 
 
@@ -40,6 +40,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pages(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.pages_without_content(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
+
+
+def p6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.pages_with_content(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_text": p2_text,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_pages": p6_pages,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
