@@ -147,11 +147,13 @@ def similar_representatives(texts: DataFrame, size: int, threshold: float, least
     reps = signed.groupBy(*same).agg(F.min("page_id").alias("rep"))
     members = signed.select("page_id", *same).join(reps, same).select("page_id", "rep")
     banded = signed.join(reps.select(F.col("rep").alias("page_id")), "page_id", "left_semi")
-    keyed = banded.select("page_id", "n", "subs", F.explode("keys").alias("key"))
+    keyed = banded.select("page_id", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    plain = keyed.select("key", "page_id", "n").join(shared.where(F.col("m") <= HOT).select("key"), "key", "left_semi")
-    hot = keyed.join(shared.where(F.col("m") > HOT).select("key"), "key", "left_semi")
-    hot = hot.select(F.col("key"), "page_id", "n", F.posexplode("subs").alias("k", "sub")).select(F.xxhash64("key", "k", "sub").alias("key"), "page_id", "n")
+    several = keyed.join(shared, "key")
+    plain = several.where(F.col("m") <= HOT).select("key", "page_id", "n")
+    # the finer keys are fetched only for pages under a hot key
+    hot = several.where(F.col("m") > HOT).select("key", "page_id", "n").join(banded.select("page_id", F.posexplode("subs").alias("k", "sub")), "page_id")
+    hot = hot.select(F.xxhash64("key", "k", "sub").alias("key"), "page_id", "n")
     buckets = plain.unionByName(hot)
     other = buckets.select("key", F.col("page_id").alias("b"), F.col("n").alias("n_b"))
     close = F.least("n", "n_b") >= F.lit(threshold) * F.greatest("n", "n_b")  # sets of very different size can't be similar
