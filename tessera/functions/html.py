@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.urls import authority, canonicalize_url
+from tessera.functions.urls import authority, canonicalize_url, let
 
 #: Patterns that results depend on (fixed values).
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
@@ -45,9 +45,8 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _either(text: Column, pattern: str) -> Column:
-    """The first group that isn't empty of a pattern with two; '' without a match."""
-    first = F.regexp_extract(text, pattern, 1)
-    return F.when(first != "", first).otherwise(F.regexp_extract(text, pattern, 2))
+    """Of a pattern of two alternatives with a group each, the group that matched; '' without a match."""
+    return F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2))
 
 
 def title(html: Column) -> Column:
@@ -64,10 +63,12 @@ def meta_robots(html: Column) -> Column:
 
 def lower_keys(headers: Column) -> Column:
     """Headers with names in lower case; of names that differ by case the last in order stays."""
-    entries = F.map_entries(headers)
-    low = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(low, lambda e, i: ~F.exists(F.slice(low, i + 2, F.greatest(F.size(low), F.lit(1))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def last(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+
+    return F.map_from_entries(let(low, last))
 
 
 def declared_canonical(html: Column) -> Column:
@@ -76,9 +77,12 @@ def declared_canonical(html: Column) -> Column:
 
 def canonical_status(declared: Column, request_url: Column, canonical_url: Column) -> Column:
     """missing, cross_domain, matches_url or mismatched_path."""
-    foreign = (authority(declared) != "") & (authority(declared) != authority(F.coalesce(F.nullif(request_url, F.lit("")), canonical_url)))
-    same = canonicalize_url(declared).eqNullSafe(canonical_url)
-    return F.when(declared == "", "missing").when(foreign, "cross_domain").when(same, "matches_url").otherwise("mismatched_path")
+
+    def judge(x: Column) -> Column:
+        foreign = (x["at"] != "") & (x["at"] != authority(F.coalesce(F.nullif(request_url, F.lit("")), canonical_url)))
+        return F.when(x["url"] == "", "missing").when(foreign, "cross_domain").when(canonicalize_url(x["url"]).eqNullSafe(canonical_url), "matches_url").otherwise("mismatched_path")
+
+    return let(let(declared, lambda d: F.struct(d.alias("url"), authority(d).alias("at"))), judge)
 
 
 def hreflang(html: Column) -> Column:
@@ -87,7 +91,7 @@ def hreflang(html: Column) -> Column:
     rows = F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)])
 
     def pair(r: Column) -> Column:
-        lang, href = (F.when(r[a] != "", r[a]).otherwise(r[b]) for a, b in (("0", "2"), ("1", "3")))
+        lang, href = (F.when(r[a] != "", r[a]).otherwise(r[b]) for a, b in (("g0", "g2"), ("g1", "g3")))
         return F.struct(F.trim(lang).alias("lang"), F.trim(href).alias("href"))
 
     return F.filter(F.transform(rows, pair), lambda p: (p["lang"] != "") & (p["href"] != ""))
@@ -106,7 +110,7 @@ def json_ld_entities(html: Column) -> Column:
     return F.flatten(F.transform(_all(html, JSON_LD), entities))
 
 
-def schema_types(html: Column) -> Column:
+def types_of(entities: Column) -> Column:
     """The different @type values in order: of entities, and of the members of an object's @graph."""
     empty = F.expr("cast(array() as array<string>)")
 
@@ -116,89 +120,101 @@ def schema_types(html: Column) -> Column:
         nested = F.filter(F.transform(graph, lambda g: F.get_json_object(g, "$['@type']")), lambda t: t.isNotNull())
         return F.concat(F.when(own.isNotNull(), F.array(own)).otherwise(empty), F.coalesce(nested, empty))
 
-    return F.array_distinct(F.flatten(F.transform(json_ld_entities(html), of)))
+    return F.array_distinct(F.flatten(F.transform(entities, of)))
+
+
+def schema_types(html: Column) -> Column:
+    return types_of(json_ld_entities(html))
 
 
 def headings(html: Column) -> Column:
-    h1 = F.filter(F.transform(_all(html, HEADING[1]), clean_text), lambda t: t != "")
-    h2, h3 = F.size(_all(html, HEADING[2])), F.size(_all(html, HEADING[3]))
-    return F.struct(F.size(h1).alias("h1_count"), h1.alias("h1_texts"), h2.alias("h2_count"), h3.alias("h3_count"), ((F.size(h1) == 1) & ((h2 > 0) | (h3 == 0))).alias("heading_order_valid"))
+    found = F.struct(F.filter(F.transform(_all(html, HEADING[1]), clean_text), lambda t: t != "").alias("h1"), F.size(_all(html, HEADING[2])).alias("h2"), F.size(_all(html, HEADING[3])).alias("h3"))
+
+    def judge(x: Column) -> Column:
+        ordered = (F.size(x["h1"]) == 1) & ((x["h2"] > 0) | (x["h3"] == 0))
+        return F.struct(F.size(x["h1"]).alias("h1_count"), x["h1"].alias("h1_texts"), x["h2"].alias("h2_count"), x["h3"].alias("h3_count"), ordered.alias("heading_order_valid"))
+
+    return let(found, judge)
 
 
 def images(html: Column) -> Column:
-    tags = _all(html, IMAGE)
-    total = F.size(tags)
-    missing = F.size(F.filter(tags, lambda a: F.trim(F.regexp_extract(a, ALT, 1)) == ""))
-    covered = F.when(total > 0, ((total - missing) / total * 100).cast("int")).otherwise(100)
-    return F.struct(total.alias("total"), missing.alias("missing_alt"), covered.alias("alt_coverage_pct"))
+    counts = let(_all(html, IMAGE), lambda tags: F.struct(F.size(tags).alias("total"), F.size(F.filter(tags, lambda a: F.trim(F.regexp_extract(a, ALT, 1)) == "")).alias("missing")))
+
+    def judge(x: Column) -> Column:
+        covered = F.when(x["total"] > 0, ((x["total"] - x["missing"]) / x["total"] * 100).cast("int")).otherwise(100)
+        return F.struct(x["total"].alias("total"), x["missing"].alias("missing_alt"), covered.alias("alt_coverage_pct"))
+
+    return let(counts, judge)
 
 
 def word_count(text: Column) -> Column:
-    bare = collapse(text)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " ")))
+    return let(collapse(text), lambda bare: F.when(bare == "", 0).otherwise(F.size(F.split(bare, " "))))
 
 
 def content(html: Column, markdown: Column) -> Column:
     text = F.when(F.coalesce(markdown, F.lit("")) != "", markdown).otherwise(html)
-    words = word_count(text)
     ratio = F.round(F.octet_length(text) / F.octet_length(html) * 100, 2)
-    return F.struct(words.alias("word_count"), F.char_length(text).alias("character_count"), ratio.alias("code_to_text_ratio"), (words < THIN_WORDS).alias("is_thin_content"))
+    return let(word_count(text), lambda words: F.struct(words.alias("word_count"), F.char_length(text).alias("character_count"), ratio.alias("code_to_text_ratio"), (words < THIN_WORDS).alias("is_thin_content")))
 
 
 def security_audit(headers: Column) -> Column:
     """The security struct of response headers; a null map counts as empty."""
-    low = lower_keys(F.coalesce(headers, F.expr("cast(map() as map<string,string>)")))
-    value = lambda name: F.coalesce(F.try_element_at(low, F.lit(name)), F.lit(""))
-    labels = [F.when(value(name) != "", F.lit(label)) for name, label in SECURITY_HEADERS]
-    missing = F.array_compact(F.array(*[F.when(value(name) == "", F.lit(label)) for name, label in SECURITY_HEADERS]))
-    present = F.map_from_entries(F.array_compact(F.array(*[F.when(value(name) != "", F.struct(F.lit(label).alias("key"), value(name).alias("value"))) for name, label in SECURITY_HEADERS])))
-    passed = F.size(F.array_compact(F.array(*labels)))
-    cookies = F.filter(F.transform(F.split(value("set-cookie"), ","), F.trim), lambda c: c != "")
-
-    def issues(cookie: Column) -> Column:
-        lacks = [F.when(~F.lower(cookie).contains(flag.lower()), F.lit(f"missing {flag}")) for flag in ("Secure", "HttpOnly", "SameSite")]
-        found = F.array_compact(F.array(*lacks))
-        name = F.trim(F.substring_index(F.substring_index(cookie, ";", 1), "=", 1))
-        return F.when(F.size(found) > 0, F.concat(name, F.lit(" ("), F.array_join(found, ", "), F.lit(")")))
-
-    encoding = F.trim(F.lower(F.coalesce(F.try_element_at(low, F.lit("content-encoding")), F.lit("none"))))
-    return F.struct(
-        (passed / len(SECURITY_HEADERS) * 100).cast("int").alias("security_score"),
-        missing.alias("missing_headers"),
-        present.alias("present_headers"),
-        F.array_compact(F.transform(cookies, issues)).alias("insecure_cookies"),
-        encoding.alias("compression"),
-        encoding.isin(*COMPRESSIONS).alias("is_compressed"),
-    )
+
+    def audit(low: Column) -> Column:
+        value = lambda name: F.coalesce(F.try_element_at(low, F.lit(name)), F.lit(""))
+        missing = F.array_compact(F.array(*[F.when(value(name) == "", F.lit(label)) for name, label in SECURITY_HEADERS]))
+        pairs = F.array_compact(F.array(*[F.when(value(name) != "", F.struct(F.lit(label).alias("key"), value(name).alias("value"))) for name, label in SECURITY_HEADERS]))
+        cookies = F.filter(F.transform(F.split(value("set-cookie"), ","), F.trim), lambda c: c != "")
+
+        def issues(cookie: Column) -> Column:
+            found = F.array_compact(F.array(*[F.when(~F.lower(cookie).contains(flag.lower()), F.lit(f"missing {flag}")) for flag in ("Secure", "HttpOnly", "SameSite")]))
+            name = F.trim(F.substring_index(F.substring_index(cookie, ";", 1), "=", 1))
+            return let(found, lambda f: F.when(F.size(f) > 0, F.concat(name, F.lit(" ("), F.array_join(f, ", "), F.lit(")"))))
+
+        encoding = F.trim(F.lower(F.coalesce(F.try_element_at(low, F.lit("content-encoding")), F.lit("none"))))
+        return F.struct(
+            ((F.lit(len(SECURITY_HEADERS)) - F.size(missing)) / len(SECURITY_HEADERS) * 100).cast("int").alias("security_score"),
+            missing.alias("missing_headers"),
+            F.map_from_entries(pairs).alias("present_headers"),
+            F.array_compact(F.transform(cookies, issues)).alias("insecure_cookies"),
+            encoding.alias("compression"),
+            encoding.isin(*COMPRESSIONS).alias("is_compressed"),
+        )
+
+    return let(lower_keys(F.coalesce(headers, F.expr("cast(map() as map<string,string>)"))), audit)
 
 
 def seo_audit(html: Column, headers: Column, canonical_url: Column, markdown: Column, request_url: Column) -> Column:
     """The SEO struct of a page; null for empty HTML."""
     low = lower_keys(F.coalesce(headers, F.expr("cast(map() as map<string,string>)")))
-    x_robots, robots, declared = F.try_element_at(low, F.lit("x-robots-tag")), meta_robots(html), declared_canonical(html)
-    header_no, page_no = F.coalesce(F.lower(x_robots).contains("noindex"), F.lit(False)), robots.contains("noindex")
-    both = (F.coalesce(x_robots, F.lit("")) != "") & (robots != "")
-    return F.when(
-        F.coalesce(html, F.lit("")) != "",
-        F.struct(
-            title(html).alias("title"),
-            F.char_length(title(html)).alias("title_length"),
-            meta_description(html).alias("meta_description"),
-            F.char_length(meta_description(html)).alias("description_length"),
+    once = F.struct(
+        F.try_element_at(low, F.lit("x-robots-tag")).alias("x_robots"), meta_robots(html).alias("robots"), declared_canonical(html).alias("declared"),
+        title(html).alias("title"), meta_description(html).alias("description"), json_ld_entities(html).alias("entities"),
+    )
+
+    def audit(x: Column) -> Column:
+        header_no, page_no = F.coalesce(F.lower(x["x_robots"]).contains("noindex"), F.lit(False)), x["robots"].contains("noindex")
+        both = (F.coalesce(x["x_robots"], F.lit("")) != "") & (x["robots"] != "")
+        return F.struct(
+            x["title"].alias("title"),
+            F.char_length(x["title"]).alias("title_length"),
+            x["description"].alias("meta_description"),
+            F.char_length(x["description"]).alias("description_length"),
             (~(header_no | page_no)).alias("is_indexable"),
-            x_robots.alias("x_robots_tag"),
-            F.nullif(robots, F.lit("")).alias("meta_robots"),
+            x["x_robots"].alias("x_robots_tag"),
+            F.nullif(x["robots"], F.lit("")).alias("meta_robots"),
             (both & (header_no != page_no)).alias("robots_conflict"),
-            F.nullif(declared, F.lit("")).alias("declared_canonical"),
-            canonical_status(declared, request_url, canonical_url).alias("canonical_status"),
+            F.nullif(x["declared"], F.lit("")).alias("declared_canonical"),
+            canonical_status(x["declared"], request_url, canonical_url).alias("canonical_status"),
             hreflang(html).alias("hreflang"),
-            schema_types(html).alias("schema_types"),
-            F.slice(json_ld_entities(html), 1, JSON_LD_KEPT).alias("json_ld_schemas"),
+            types_of(x["entities"]).alias("schema_types"),
+            F.slice(x["entities"], 1, JSON_LD_KEPT).alias("json_ld_schemas"),
             headings(html).alias("headings"),
             images(html).alias("images"),
             content(html, markdown).alias("content"),
-        ),
-    )
+        )
+
+    return F.when(F.coalesce(html, F.lit("")) != "", let(once, audit))
 
 
 def runtime_audit(response_time: Column, fcp: Column, dom_interactive: Column, dom_complete: Column, errors: Column) -> Column:
@@ -223,7 +239,7 @@ def full_audit(html: Column, headers: Column, canonical_url: Column, markdown: C
 def anchor_hrefs(html: Column) -> Column:
     """The targets of all anchors, in order."""
     groups = F.arrays_zip(*[_all(html, ANCHOR, k).alias(f"g{k}") for k in (1, 2, 3)])
-    return F.transform(groups, lambda g: F.when(g["0"] != "", g["0"]).when(g["1"] != "", g["1"]).otherwise(g["2"]))
+    return F.transform(groups, lambda g: F.coalesce(F.nullif(g["g1"], F.lit("")), F.nullif(g["g2"], F.lit("")), g["g3"]))
 
 
 def markdown_to_text(markdown: Column) -> Column:

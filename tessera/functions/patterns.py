@@ -14,7 +14,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.urls import canonicalize_url, normalized_path, origin, path
+from tessera.functions.urls import canonicalize_url, let, normalized_path, origin, origin_of, split_url
 
 LONGEST_PATTERN, MOST_PATTERNS = 512, 100
 #: Endings of paths by type of resource, in order of precedence (fixed values).
@@ -154,31 +154,32 @@ def evaluate_url(url: Column, target_origin: Column | str, include: list[Rule],
     matches, an exclude rule before an include rule, the earlier before the later.
     """
     expected = F.lit(target_origin) if isinstance(target_origin, str) else target_origin
-    whole = canonicalize_url(url)
-    where = normalized_path(path(whole))
-    squeezed = F.regexp_replace(where, r"/{2,}", "/")
-    rank = [F.struct(*[F.lit(x).alias(f"s{k}") for k, x in enumerate(r.specificity)], F.lit(r.kind == "exclude").alias("exclude"), F.lit(-r.index).alias("at"), F.lit(r.rule_id).alias("rule")) for r in [*include, *exclude]]
     rules = [*include, *exclude]
-
-    def answer(decision: str, reason: Column | str, rule: Column | None = None) -> Column:
-        why = F.lit(reason) if isinstance(reason, str) else reason
-        return F.struct(F.lit(decision).alias("decision"), why.alias("reason"), whole.alias("normalized_url"), where.alias("normalized_path"), (F.lit(None).cast("string") if rule is None else rule).alias("rule_id"))
-
-    out = F.when(~origin(whole).eqNullSafe(expected), answer("excluded", "outside_origin"))
-    if exclude_types:
-        kind = resource_type(where)
-        out = out.when(kind.isin(*exclude_types), answer("excluded", F.concat(F.lit("excluded_resource_type:"), kind)))
-    if not rules:
-        return out.otherwise(answer("included", "no_rules"))
-    if include:
-        matched = F.lit(False)
-        for r in include:
-            matched = matched | squeezed.rlike(r.regex)
-        out = out.when(~matched, answer("excluded", "include_no_match"))
-    best = F.array_max(F.array_compact(F.array(*[F.when(squeezed.rlike(r.regex), c) for r, c in zip(rules, rank)])))
-    out = out.when(best.isNull(), answer("included", "no_rule_match"))
-    out = out.when(best["exclude"], answer("excluded", "matched_exclude", best["rule"]))
-    return out.otherwise(answer("included", "matched_include", best["rule"]))
+    rank = [F.struct(*[F.lit(x).alias(f"s{k}") for k, x in enumerate(r.specificity)], F.lit(r.kind == "exclude").alias("exclude"), F.lit(-r.index).alias("at"), F.lit(r.rule_id).alias("rule")) for r in rules]
+
+    def judge(whole: Column, parts: Column, where: Column) -> Column:
+        squeezed = F.regexp_replace(where, r"/{2,}", "/")
+
+        def answer(decision: str, reason: Column | str, rule: Column | None = None) -> Column:
+            why = F.lit(reason) if isinstance(reason, str) else reason
+            return F.struct(F.lit(decision).alias("decision"), why.alias("reason"), whole.alias("normalized_url"), where.alias("normalized_path"), (F.lit(None).cast("string") if rule is None else rule).alias("rule_id"))
+
+        def by_rules(hits: Column) -> Column:
+            included = F.exists(hits, lambda h: ~h["exclude"])
+            best = F.array_max(hits)
+            out = F.when(F.lit(bool(include)) & ~included, answer("excluded", "include_no_match")).when(F.size(hits) == 0, answer("included", "no_rule_match"))
+            return out.when(best["exclude"], answer("excluded", "matched_exclude", best["rule"])).otherwise(answer("included", "matched_include", best["rule"]))
+
+        out = F.when(~origin_of(parts).eqNullSafe(expected), answer("excluded", "outside_origin"))
+        if exclude_types:
+            kind = resource_type(where)
+            out = out.when(kind.isin(*exclude_types), answer("excluded", F.concat(F.lit("excluded_resource_type:"), kind)))
+        if not rules:
+            return out.otherwise(answer("included", "no_rules"))
+        return out.otherwise(let(squeezed, lambda p: let(F.array_compact(F.array(*[F.when(p.rlike(r.regex), c) for r, c in zip(rules, rank)])), by_rules)))
+
+    bound = let(canonicalize_url(url), lambda w: F.struct(w.alias("whole"), split_url(w).alias("parts")))
+    return let(let(bound, lambda x: F.struct(x["whole"].alias("whole"), x["parts"].alias("parts"), normalized_path(x["parts"]["path"]).alias("where"))), lambda x: judge(x["whole"], x["parts"], x["where"]))
 
 
 def evaluate_link(url: Column, target_origin: str | None, include: list[Rule], exclude: list[Rule], exclude_types: tuple[str, ...] = ()) -> Column:

@@ -15,65 +15,86 @@ DEFAULT_PORTS = {"http": "80", "https": "443"}
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _clean(url: Column) -> Column:
     """Without the control characters that URL parsers drop."""
     return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
 
 
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(_clean(url), PARTS, n)
+def split_url(url: Column) -> Column:
+    """The parts of a URL: scheme and host in lower case, authority, port as written, path, query, fragment; '' for those it lacks."""
 
+    def cut(u: Column) -> Column:
+        part = lambda n: F.regexp_extract(u, PARTS, n)
+        return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
 
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    def with_host(p: Column) -> Column:
+        address = F.lower(F.regexp_replace(p["authority"], r"^.*@", ""))
+        return let(address, lambda a: F.struct(p["scheme"].alias("scheme"), p["authority"].alias("authority"), a.alias("address"), F.regexp_replace(a, r":[0-9]*$", "").alias("host"), F.regexp_extract(a, r":([0-9]*)$", 1).alias("port"), p["path"].alias("path"), p["query"].alias("query"), p["fragment"].alias("fragment")))
 
+    return F.when(url.isNotNull(), let(let(_clean(url), cut), with_host))
 
-def authority(url: Column) -> Column:
-    return _part(url, 2)
+
+def _needed_port(p: Column) -> Column:
+    """':port' where the scheme doesn't imply it."""
+    implied = F.lit(False)
+    for name, number in DEFAULT_PORTS.items():
+        implied = implied | ((p["scheme"] == name) & (p["port"] == number))
+    return F.when(implied | (p["port"] == ""), "").otherwise(F.concat(F.lit(":"), p["port"]))
+
+
+def scheme(url: Column) -> Column:
+    return split_url(url)["scheme"]
 
 
-def _address(url: Column) -> Column:
-    """Host and port, without user information, in lower case."""
-    return F.lower(F.regexp_replace(authority(url), r"^.*@", ""))
+def authority(url: Column) -> Column:
+    return split_url(url)["authority"]
 
 
 def host(url: Column) -> Column:
     """The host in lower case, without port; '' when there is none."""
-    return F.regexp_replace(_address(url), r":[0-9]*$", "")
+    return split_url(url)["host"]
 
 
 def port(url: Column) -> Column:
     """The port as it is written; '' when there is none or the scheme implies it."""
-    written = F.regexp_extract(_address(url), r":([0-9]*)$", 1)
-    implied = F.lit(False)
-    for name, number in DEFAULT_PORTS.items():
-        implied = implied | ((scheme(url) == name) & (written == number))
-    return F.when(implied, "").otherwise(written)
+    return let(split_url(url), lambda p: F.regexp_replace(_needed_port(p), "^:", ""))
 
 
 def path(url: Column) -> Column:
-    return _part(url, 3)
+    return split_url(url)["path"]
 
 
 def query(url: Column) -> Column:
-    return _part(url, 4)
+    return split_url(url)["query"]
+
+
+def origin_of(p: Column) -> Column:
+    """The origin of a URL's parts: scheme://host, with the port where the scheme doesn't imply it."""
+    return F.concat(p["scheme"], F.lit("://"), p["host"], _needed_port(p))
 
 
 def origin(url: Column) -> Column:
-    """scheme://host, with the port where the scheme doesn't imply it."""
-    return F.concat(scheme(url), F.lit("://"), host(url), F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise(""))
+    return let(split_url(url), origin_of)
 
 
 def canonicalize_url(url: Column) -> Column:
     """Lower-case scheme and host, no user information, default port, parameters or fragment; no trailing slashes
     but for the root; the query as it is. A port that isn't a number gives null."""
-    bare = F.regexp_replace(F.regexp_replace(path(url), r";[^/]*$", ""), r"/+$", "")
-    slashes = F.when(authority(url) != "", F.lit("//")).otherwise("")
-    tail = F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise("")
-    before = F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise("")
-    at = F.concat(host(url), F.when(port(url) != "", F.concat(F.lit(":"), port(url))).otherwise(""))
-    whole = F.concat(before, slashes, at, F.when(bare == "", "/").otherwise(bare), tail)
-    return F.when(_address(url).rlike(r":[^0-9\]]*[^0-9\]:][^\]]*$") & ~_address(url).startswith("["), None).otherwise(whole)
+
+    def whole(p: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(p["path"], r";[^/]*$", ""), r"/+$", "")
+        before = F.when(p["scheme"] != "", F.concat(p["scheme"], F.lit(":"))).otherwise("")
+        slashes = F.when(p["authority"] != "", F.lit("//")).otherwise("")
+        tail = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+        bad = p["host"].contains(":") & ~p["address"].startswith("[")
+        return F.when(~bad, F.concat(before, slashes, p["host"], _needed_port(p), F.coalesce(F.nullif(bare, F.lit("")), F.lit("/")), tail))
+
+    return let(split_url(url), whole)
 
 
 def fingerprint(url: Column) -> Column:
@@ -97,22 +118,24 @@ def _without_dots(p: Column) -> Column:
 
 def urljoin(base: Column, href: Column) -> Column:
     """``href`` resolved against the absolute URL ``base``."""
-    ref = _clean(href)
-    base_scheme, base_at = _part(base, 1), F.concat(_part(base, 1), F.lit("://"), authority(base))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    ref_query = F.when(ref.contains("?"), F.regexp_extract(ref, r"^[^?#]*(\?[^#]*)", 1)).otherwise("")
-    ref_fragment = F.when(ref.contains("#"), F.regexp_extract(ref, r"^[^#]*(#.*)$", 1)).otherwise("")
-    base_query = F.when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise("")
-    ref_path = path(ref)
-    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(F.concat(folder, ref_path))
-    return (
-        F.when(ref == "", _clean(base))
-        .when(_part(ref, 1) != "", ref)
-        .when(ref.startswith("//"), F.concat(base_scheme, F.lit(":"), ref))
-        .when(ref_path == "", F.concat(base_at, path(base), F.when(ref_query != "", ref_query).otherwise(base_query), ref_fragment))
-        .otherwise(F.concat(base_at, F.when(merged.rlike(r"(^|/)\.{1,2}(/|$)"), _without_dots(merged)).otherwise(merged), ref_query, ref_fragment))
-    )
+
+    def resolve(b: Column, ref: Column, r: Column) -> Column:
+        at = F.concat(b["scheme"], F.lit("://"), b["authority"])
+        marked = lambda mark, text: F.when(text != "", F.concat(F.lit(mark), text)).otherwise("")
+        ends = F.concat(marked("?", r["query"]), marked("#", r["fragment"]))
+        folder = F.regexp_replace(b["path"], r"[^/]*$", "")
+        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), r["path"]))
+        below = let(merged, lambda m: F.when(m.rlike(r"(^|/)\.{1,2}(/|$)"), _without_dots(m)).otherwise(m))
+        same_page = F.concat(at, b["path"], F.when(r["query"] != "", marked("?", r["query"])).otherwise(marked("?", b["query"])), marked("#", r["fragment"]))
+        return (
+            F.when(ref == "", _clean(base))
+            .when(r["scheme"] != "", ref)
+            .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), ref))
+            .when(r["path"] == "", same_page)
+            .otherwise(F.concat(at, below, ends))
+        )
+
+    return let(F.struct(split_url(base).alias("b"), _clean(href).alias("ref"), split_url(href).alias("r")), lambda x: resolve(x["b"], x["ref"], x["r"]))
 
 
 def query_pairs(url: Column) -> Column:
@@ -127,16 +150,17 @@ def query_pairs(url: Column) -> Column:
 
 def query_map(url: Column) -> Column:
     """The query as a map; of a key that comes twice the last value stays."""
-    pairs = query_pairs(url)
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
+
+    return F.map_from_entries(let(query_pairs(url), last))
 
 
 def normalized_path(p: Column) -> Column:
     """A path with one leading slash and no trailing ones; the root for an empty one."""
     led = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    bare = F.regexp_replace(led, r"/+$", "")
-    return F.when(bare == "", "/").otherwise(bare)
+    return F.coalesce(F.nullif(F.regexp_replace(led, r"/+$", ""), F.lit("")), F.lit("/"))
 
 
 def path_parent(p: Column) -> Column:

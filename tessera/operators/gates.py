@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.contacts import contact_of_href
 from tessera.functions.html import anchor_hrefs
 from tessera.functions.patterns import Rule, evaluate_link
-from tessera.functions.urls import canonicalize_url, fingerprint, host, is_inside, path, scheme, urljoin
+from tessera.functions.urls import canonicalize_url, fingerprint, is_inside, split_url, urljoin
 from tessera.session import cut
 
 BLOCKED_STATUS = (403, 429, 503)
@@ -74,15 +74,15 @@ def gate_links(links: DataFrame, domain: Column, include: list[Rule] = [], exclu
     # the first of a page's equal links: by partial aggregation, then a join on the page's own links
     firsts = links.groupBy("page_id", "url").agg(F.min("at").alias("first_at"))
     links = links.join(firsts, ["page_id", "url"])
-    rule = evaluate_link(F.col("url"), origin, include, exclude)
+    links = links.withColumns({"_parts": split_url(F.col("url")), "_excluded": evaluate_link(F.col("url"), origin, include, exclude)["decision"] == "excluded"})
     mail = F.lower(F.trim("href")).rlike("^(mailto|tel):")
     reason = (
         F.when(F.col("at") != F.col("first_at"), "PAGE_DUPLICATE")
         .when(mail, F.when(F.col("contact").isNotNull(), "CONTACT").otherwise("INVALID_CONTACT"))
-        .when(~scheme(F.col("url")).isin("http", "https"), "INVALID_SCHEME")
-        .when(~is_inside(host(F.col("url")), F.col("domain")), "OFFSITE_DOMAIN")
-        .when(is_denied(path(F.col("url"))), "DENY_PATTERN")
-        .when(rule["decision"] == "excluded", "URL_PATTERN_EXCLUDED")
+        .when(~F.col("_parts.scheme").isin("http", "https"), "INVALID_SCHEME")
+        .when(~is_inside(F.col("_parts.host"), F.col("domain")), "OFFSITE_DOMAIN")
+        .when(is_denied(F.col("_parts.path")), "DENY_PATTERN")
+        .when(F.col("_excluded"), "URL_PATTERN_EXCLUDED")
     )
     gated = links.withColumn("reason", reason)
     passed = gated.where("reason is null")

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.patterns import Rule, archive_name, evaluate_url
-from tessera.functions.urls import canonicalize_url, normalized_path, origin, path, query_map
+from tessera.functions.urls import canonicalize_url, let, normalized_path, origin_of, query_map, split_url
 
 EXTENSIONS = {"markdown": ".md", "html": ".html", "text": ".txt"}
 
 
 def inventory_of(links: DataFrame, url: str = "to_url") -> DataFrame:
     """``links`` with original_url, normalized_url, origin, normalized_path and query_parameters."""
-    whole = canonicalize_url(F.col(url))
-    return links.withColumns({"original_url": F.col(url), "normalized_url": whole, "origin": origin(whole), "normalized_path": normalized_path(path(whole)), "query_parameters": query_map(whole)})
+    cut = let(canonicalize_url(F.col(url)), lambda w: F.struct(w.alias("whole"), split_url(w).alias("parts")))
+    rows = links.withColumn("_cut", cut)
+    whole, parts = F.col("_cut.whole"), F.col("_cut.parts")
+    return rows.withColumns({"original_url": F.col(url), "normalized_url": whole, "origin": origin_of(parts), "normalized_path": normalized_path(parts["path"]), "query_parameters": query_map(whole)}).drop("_cut")
 
 
 def in_scope(scope_path: str, candidate: Column) -> Column:
@@ -42,10 +44,11 @@ def select_inventory(inventory: DataFrame, pages: DataFrame, target_origin: str,
     judged = evaluate_url(F.col("normalized_url"), target_origin, include, exclude, exclude_types)
     stale = F.col("processing_status").isin("excluded", "failed") & F.col("_page").isNull()
     null = F.lit(None).cast("string")
+    fresh = let(judged, lambda j: F.struct(j["decision"].alias("decision"), j["reason"].alias("reason"), j["rule_id"].alias("rule_id")))
     answer = (
         F.when(~in_scope(scope_path, F.col("normalized_path")), F.struct(F.lit("outside_scope").alias("decision"), F.lit("outside_scope").alias("reason"), null.alias("rule_id")))
         .when(stale, F.struct(F.lit("excluded").alias("decision"), F.coalesce("exclusion_reason", F.lit("crawl_restriction")).alias("reason"), F.col("matched_rule_id").alias("rule_id")))
-        .otherwise(F.struct(judged["decision"].alias("decision"), judged["reason"].alias("reason"), judged["rule_id"].alias("rule_id")))
+        .otherwise(fresh)
     )
     status = content_status(F.col("_page"), F.col("markdown_file_id"), F.col("html_file_id"), form)
     return joined.withColumn("a", answer).select(*inventory.columns, "a.decision", "a.reason", "a.rule_id", status.alias("content_status"))
