@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.urls import let
+
 #: Patterns and word lists that results depend on (fixed values).
 EMAIL = r"\b[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"
 PHONE = r"(?:(?:\+|00)\d{1,3}[-.\s]?)?(?:\(?\d{1,4}\)?[-.\s]?)?\d{3,4}[-.\s]?\d{3,5}\b"
@@ -22,13 +24,22 @@ def _unquote(text: Column) -> Column:
     return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
 
 
+#: Classes such as \\s and \\d take in all of Unicode.
+_UNICODE = "(?U)"
+
+
 def _strip(text: Column, marks: str) -> Column:
-    return F.regexp_replace(text, f"^[{marks}]+|[{marks}]+$", "")
+    """Without white space, then without the marks, at both ends."""
+    bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(bare, f"^[{marks}]+|[{marks}]+$", "")
 
 
 def validate_email(email: Column) -> Column:
     """The address in lower case, or null if it isn't one or is an asset's name, a placeholder or a machine's id."""
-    clean = F.lower(_strip(F.trim(_unquote(email)), r".,;:()<>\[\]\"'"))
+    return let(F.lower(_strip(_unquote(email), r".,;:()<>\[\]\"'")), _email)
+
+
+def _email(clean: Column) -> Column:
     local, domain = F.substring_index(clean, "@", 1), F.regexp_extract(clean, r"^[^@]*@(.*)$", 1)
     good = (
         F.char_length(clean).between(6, 254)
@@ -40,15 +51,17 @@ def validate_email(email: Column) -> Column:
         & ~F.substring_index(domain, ".", -1).isin(*ASSET_ENDINGS)
         & ~domain.isin(*PLACEHOLDER_DOMAINS)
         & ~local.rlike(UUID)
-        & clean.rlike(f"^(?:{EMAIL})$")
+        & clean.rlike(f"{_UNICODE}^(?:{EMAIL})$")
     )
     return F.when(good, clean)
 
 
 def validate_phone(phone: Column) -> Column:
     """The number with single spaces for its separators, or null if it is a date, a time, an address, a plain or dummy number."""
-    raw = _strip(F.trim(_unquote(phone)), r".,;:<>\"'#*")
-    digits = F.regexp_replace(raw, r"\D", "")
+    return let(let(_strip(_unquote(phone), r".,;:<>\"'#*"), lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, r"(?U)\D", "").alias("digits"))), lambda x: _phone(x["raw"], x["digits"]))
+
+
+def _phone(raw: Column, digits: Column) -> Column:
     n = F.length(digits)
     good = (
         ~raw.rlike(DATE)
@@ -58,14 +71,14 @@ def validate_phone(phone: Column) -> Column:
         & ~digits.rlike(r"^(\d)\1*$")
         & ~F.contains(F.lit(RISING), digits)
         & ~F.contains(F.lit(FALLING), digits)
-        & raw.rlike(r"^\+|[\s\-().]")
+        & raw.rlike(r"(?U)^\+|[\s\-().]")
         & ~(n.isin(10, 13) & digits.rlike("^1[5-9]") & ~raw.startswith("+"))
     )
-    return F.when(good, F.trim(F.regexp_replace(raw, r"[\s.-]+", " ")))
+    return F.when(good, F.trim(F.regexp_replace(raw, r"(?U)[\s.-]+", " ")))
 
 
 def _found(text: Column, pattern: str, validate) -> Column:
-    candidates = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
+    candidates = F.array_distinct(F.regexp_extract_all(text, F.lit(_UNICODE + pattern), 0))
     valid = F.filter(F.transform(candidates, validate), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(valid))
 

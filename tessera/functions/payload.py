@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Parts of addresses that belong to tracking (fixed values).
 TRACKING = (
@@ -161,7 +162,7 @@ def to_markdown(html: str | None) -> str | None:
     return parser.result() or None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_to_markdown(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The one function that no Column expresses: a converter with state."""
     for batch in pages:

@@ -187,7 +187,7 @@ _EDGES = "SELECT l.crawl_id, l.from_page_id AS source, t.id AS target, count(*)
 _HREFS = r"""regexp_extract_all(c.raw_html, '(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s>"'']+))', 1)"""
 _ANCHORS = f"""WITH h AS (SELECT c.page_id, p.url AS base, {_HREFS} AS hrefs FROM page_content c JOIN pages p ON p.id = c.page_id WHERE c.raw_html IS NOT NULL),
 a AS (SELECT page_id, base, n - 1 AS pos, hrefs[n] AS href FROM (SELECT *, unnest(generate_series(1, len(hrefs))) AS n FROM h)),
-r AS (SELECT page_id, base, pos, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^([^:]*):', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(base, '^([^:]*://[^/?#]*)', 1) || href ELSE NULL END AS url FROM a)
+r AS (SELECT page_id, base, pos, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN lower(regexp_extract(base, '^([^:]*):', 1)) || ':' || href WHEN starts_with(href, '/') THEN lower(regexp_extract(base, '^([^:]*)://', 1)) || regexp_extract(base, '^[^:]*(://[^/?#]*)', 1) || href ELSE NULL END AS url FROM a)
 """
 _R, _B = _sql("url"), _sql("base")
 _DENIED = "|".join(gates.DENIED_PATHS)
