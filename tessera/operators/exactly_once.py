@@ -20,9 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["stream_name", "message_id"]
-PARTITION = "_part"
-#: Files of one partition's folder grow by the batch; a day of deliveries is spread over this many tasks.
-SPREAD = 4
+PARTITION = "__tessera_part"
 
 
 def day_of_delivery() -> Column:
@@ -105,18 +103,20 @@ class MessageStore:
         manifest = self.manifest()
         schema = incoming.schema
         touched = self.affected(incoming, manifest)
+        if not touched:
+            return incoming.select(*KEY, self.order).limit(0)
         old = [manifest["partitions"][p] for p in touched if p in manifest["partitions"]]
-        rows = self._read(old, schema).withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-        rows = rows.withColumn(PARTITION, self.partition).withColumn("_at", F.struct(F.col(self.order), F.col("_new")))
+        rows = self._read(old, schema).withColumn("__tessera_new", F.lit(0)).unionByName(incoming.withColumn("__tessera_new", F.lit(1)))
+        rows = rows.withColumn(PARTITION, self.partition).withColumn("__tessera_at", F.struct(F.col(self.order), F.col("__tessera_new")))
         keyed = F.col("message_id").isNotNull() & F.col("stream_name").isNotNull()
         # a row equal in key and order to the winner is a copy as well: the row itself rides in the aggregate
-        kept = [c for c in rows.columns if c != "_at"]
-        groups = rows.where(keyed).groupBy(*KEY).agg(F.min_by(F.struct(*kept), "_at").alias("_row"))
-        winners = groups.select("_row.*").unionByName(rows.where(~keyed).drop("_at"))
+        kept = [c for c in rows.columns if c != "__tessera_at"]
+        groups = rows.where(keyed).groupBy(*KEY).agg(F.min_by(F.struct(*kept), "__tessera_at").alias("__tessera_row"))
+        winners = groups.select("__tessera_row.*").unionByName(rows.where(~keyed).drop("__tessera_at"))
         version = uuid.uuid4().hex
         folder = f"{self.path}/v-{version}"
-        spread = F.pmod(F.xxhash64(self.order), F.lit(SPREAD))
-        winners.drop("_new").repartition(PARTITION, spread).write.partitionBy(PARTITION).parquet(folder)
+        # rebalanced at run time: a day with very many messages is split, days with few share a task
+        winners.drop("__tessera_new").hint("rebalance", PARTITION).write.partitionBy(PARTITION).parquet(folder)
         index = f"{self.path}/i-{version}"
         written = self.spark.read.option("basePath", folder).parquet(folder).withColumn(PARTITION, F.col(PARTITION).cast("string"))
         written.select(self._key_hash().alias("key"), PARTITION).where("key is not null").write.parquet(index)
@@ -131,9 +131,9 @@ class MessageStore:
                 partitions[name.partition("=")[2]] = f"{folder}/{name}"
         self._commit({"partitions": partitions, "index": [*manifest["index"], index]})
         # a row was dropped when it isn't the one kept for its message
-        kept_now = written.select(*[F.col(c).alias(f"_k_{c}") for c in KEY], F.col(self.order).alias("_k_order"))
-        same = [F.col(c) == F.col(f"_k_{c}") for c in KEY]
-        dropped = rows.where(keyed).select(*KEY, self.order).join(kept_now, [*same, F.col(self.order) == F.col("_k_order")], "left_anti")
+        kept_now = written.select(*[F.col(c).alias(f"__tessera_{c}") for c in KEY], F.col(self.order).alias("__tessera_order"))
+        same = [F.col(c) == F.col(f"__tessera_{c}") for c in KEY]
+        dropped = rows.where(keyed).select(*KEY, self.order).join(kept_now, [*same, F.col(self.order).eqNullSafe(F.col("__tessera_order"))], "left_anti")
         return dropped
 
 
