@@ -92,19 +92,23 @@ def _fields(text: str) -> list[tuple[int, int]]:
 
 
 def same_record(a: str, b: str) -> bool:
-    """Whether two values have the same fields in any order: each field of one is matched with one of the other."""
+    """Whether two values have the same fields in any order: each field of one is matched with one of equal hash of the other."""
     if a == b:
         return True
     left, right = _fields(a), _fields(b)
     if len(left) != len(right):
         return False
-    for i, end_i in left:
-        for k, (j, end_j) in enumerate(right):
-            if same_folded(a, b, i, j, end_i, end_j):
-                del right[k]
-                break
-        else:
+    owner, h, _ = field_hashes([a, b])
+    of_left, of_right = h[owner == 0].tolist(), h[owner == 1].tolist()
+    candidates: dict[int, list[tuple[int, int]]] = {}
+    for key, place in zip(of_right, right):
+        candidates.setdefault(key, []).append(place)
+    for key, (i, end_i) in zip(of_left, left):
+        places = candidates.get(key, [])
+        found = next((k for k, (j, end_j) in enumerate(places) if same_folded(a, b, i, j, end_i, end_j)), None)
+        if found is None:
             return False
+        places.pop(found)
     return True
 
 

@@ -52,7 +52,7 @@ SLOT_BITS, SLICES = 19, 3
 SENTENCE_WORDS, LEAST_PART = 4, 0.2
 #: ... and leads the second best by this part of its count.
 LEAST_LEAD = 0.15
-_RUN = re.compile(r"(?:[^\W\d_]+(?:['’\-][^\W\d_]+)*[,:;]?[^\S\n]+){%d}[^\W\d_]" % (SENTENCE_WORDS - 1))
+_RUN = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]++(?:['’\-][^\W\d_]++)*+[,:;]?[^\S\n]++){%d}[^\W\d_]" % (SENTENCE_WORDS - 1))  # linear in the text
 _BLANK = re.compile(r"\n\s*\n")
 
 
