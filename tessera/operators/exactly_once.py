@@ -98,7 +98,8 @@ class MessageStore:
     def merge(self, incoming: DataFrame) -> DataFrame:
         """Add a batch; returns (stream_name, message_id, <order>) of the rows dropped, from the batch or from history.
 
-        Merging the same batch again drops all of it that has a message_id. An empty batch changes nothing.
+        A row with the kept row's key and order is the same delivery, merged again, and isn't reported: merging a batch
+        again changes nothing. So does an empty batch.
         """
         manifest = self.manifest()
         schema = incoming.schema
