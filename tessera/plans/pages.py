@@ -9,7 +9,7 @@ from tessera.functions import contacts as C
 from tessera.functions import html as H
 from tessera.functions import payload as P
 from tessera.functions.urls import crawl_uuid
-from tessera.operators import gates, reads, rollup
+from tessera.operators import gates, jobs, reads, rollup
 from tessera.operators.rules import evaluate_findings
 from tessera.plans.findings import FINDINGS_SQL, findings
 from tessera.plans.urls import _sql
@@ -188,10 +188,23 @@ def full_audits(spark, sf_dir):
     return evaluate_findings(audited, "page_id").select("id", "severity")
 
 
+def crawl_inspection(spark, sf_dir):
+    return jobs.inspection(*(table(spark, sf_dir, t) for t in ("crawls", "pages", "page_contacts")))
+
+
+def job_states(spark, sf_dir):
+    """An export job for each crawl, started, ended and then cancelled."""
+    crawls = table(spark, sf_dir, "crawls", "id", "pages_failed")
+    queued = crawls.select("id", F.lit("queued").alias("status"))
+    start = crawls.select("id", F.lit("processing").alias("wanted"), F.lit(1).alias("seq"))
+    end = crawls.where("pages_failed < 4").select("id", jobs.final_status(F.col("pages_failed"), F.lit(False)).alias("wanted"), F.lit(2).alias("seq"))
+    return jobs.cancel(jobs.advance(queued, start.unionByName(end)), crawls.where("pages_failed <> 1").select("id"))
+
+
 QUERIES = {f.__name__: f for f in (
     crawl_list, crawl_counts, crawl_status, active_crawl, crawl_ids, path_tree, page_search, statistics, status_histogram, artifacts, page_metadata, contact_list, contact_sources, contact_counts,
     contact_rollup, scorecard, missing_headers, consolidation, seo_signals, security_signals, runtime_signals, blocked_responses, contacts_extracted, document_contacts, contacts_validated, page_text,
-    payload_states, html_markdown, full_audits,
+    payload_states, html_markdown, full_audits, crawl_inspection, job_states,
 )}
 
 _SCORE = """SELECT crawl_id, count(*) AS pages,
@@ -250,6 +263,8 @@ def _contacts_sql(relation: str, key: str, column: str) -> str:
 _BODY = "lower(substr(coalesce(c.raw_html, ''), 1, 8192))"
 _SIGNALS = " OR ".join(f"contains(b, '{x}')" for x in gates.BLOCK_SIGNALS)
 ORACLE = {
+    "crawl_inspection": "SELECT c.id, c.target_domain, c.status, (SELECT count(*) FROM pages p WHERE p.crawl_id = c.id) AS pages, (SELECT count(*) FROM page_contacts k JOIN pages p ON p.id = k.page_id WHERE p.crawl_id = c.id) AS contacts FROM (SELECT * FROM crawls ORDER BY started_at DESC NULLS LAST, id LIMIT 5) c",
+    "job_states": "SELECT id, CASE WHEN pages_failed = 0 THEN 'completed' WHEN pages_failed < 4 THEN 'completed_with_errors' WHEN pages_failed <> 1 THEN 'cancelled' ELSE 'processing' END AS status FROM crawls",
     "seo_signals": _SEO,
     "crawl_list": FINDINGS_SQL + "SELECT c.id, c.target_domain, c.status, (SELECT count(*) FROM findings f WHERE f.crawl_id = c.id) AS findings_count FROM crawls c WHERE target_domain ILIKE '%o%-%' AND status = 'completed' ORDER BY id DESC LIMIT 50",
     "crawl_counts": FINDINGS_SQL + "SELECT c.id, count(f.id) AS findings_count FROM crawls c LEFT JOIN findings f ON f.crawl_id = c.id GROUP BY c.id",

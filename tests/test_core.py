@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import contacts, html, patterns, payload, urls
-from tessera.operators import events, export, gates, merge, reads, rollup, rules, selection, tasks
+from tessera.operators import events, export, gates, jobs, merge, reads, rollup, rules, selection, tasks
 
 
 def one(spark, value, use, kind="string"):
@@ -305,3 +305,13 @@ def test_graph_and_reads(make):
     assert reads.graph_edges(links, pages, most_pages=1).count() == 0
     total = reads.totals(make([], "crawl_id string"), 10).first()
     assert (total.total, total.total_pages) == (0, 1)
+
+
+def test_jobs(make):
+    rows = make([("a", "queued"), ("b", "completed"), ("c", "processing"), ("d", "queued")], "id string, status string")
+    asked = make([("a", "completed", 1), ("a", "processing", 2), ("a", "completed_with_errors", 3), ("a", "cancelled", 4), ("b", "processing", 1), ("x", "failed", 1)], "id string, wanted string, seq int")
+    assert {r.id: r.status for r in jobs.advance(rows, asked).collect()} == {"a": "completed_with_errors", "b": "completed", "c": "processing", "d": "queued"}
+    once = jobs.cancel(rows, rows.select("id"))
+    assert {r.id: r.status for r in once.collect()} == {r.id: r.status for r in jobs.cancel(once, rows.select("id")).collect()} == {"a": "cancelled", "b": "completed", "c": "cancelled", "d": "cancelled"}
+    crawls = make([("x", '{"alias": "n"}', "2024-01-01"), ("y", '{"crawl_id": "n"}', "2024-02-01"), ("z", None, None)], "id string, config string, started_at string")
+    assert jobs.find_crawl(crawls, "n").first().id == "y" and jobs.find_crawl(crawls, "none").count() == 0
