@@ -183,3 +183,29 @@ def near_duplicate_pages(page_content: DataFrame, pages: DataFrame, size: int =
     within = one.join(two.withColumnRenamed("b", "a"), "a").where("p < q and url_p <> url_q")
     found = between.select("p", "q").unionByName(within.select("p", "q"))
     return found.select(F.least("p", "q").alias("page_id_a"), F.greatest("p", "q").alias("page_id_b"))
+
+
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(page_id, group_id): pages whose classes hang together by links; group_id is the least page of a group.
+
+    Least labels travel along links and then jump to their own label's label, until none changes: the rounds grow with the
+    logarithm of a group's diameter. Each round is written down, so a lost executor costs one round.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.select(F.col("a").alias("v"), F.col("a").alias("label")).distinct())
+    while True:
+        seen = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("v")).agg(F.min("near").alias("near"))
+        least = labels.join(seen, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = least.select(F.col("v").alias("label"), F.col("label").alias("far"))
+        new = cut(least.join(jump, "label").select("v", "old", F.least("label", "far").alias("label")))
+        if new.where("label <> old").isEmpty():
+            break
+        labels = new.select("v", "label")
+    named = members.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
+    return named.select("page_id", F.coalesce("label", "rep").alias("group_id"))
+
+
+def near_duplicate_groups(page_content: DataFrame, size: int = 3, threshold: float = 0.6, least_words: int = 100) -> DataFrame:
+    """(page_id, group_id) of each page with ``least_words`` words or more; pages like no other are groups of one."""
+    links, members = similar_representatives(page_content.select("page_id", F.col("raw_markdown").alias("text")), size, threshold, least_words)
+    return groups(cut(links), members)

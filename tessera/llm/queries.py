@@ -40,6 +40,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_pages(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "page_content"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.pages_without_content(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_text": p2_text,
     "p4_found": p4_found,
     "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_pages": p6_pages,
     "p7_ids": p7_ids,

@@ -131,6 +131,25 @@ def test_near_duplicates_match_brute_force(make, monkeypatch, hot):
     assert got == want and len(want) > 80
 
 
+def test_groups_match_union_find(make):
+    content, _ = near_fixture()
+    chain = [[f"c{k}" for k in range(i * 30, i * 30 + 160)] for i in range(14)]  # each like the next, the ends unlike
+    content = content + [(3000 + i, None, " ".join(ws)) for i, ws in enumerate(chain)]
+    parent = {p: p for p, _, md in content if shingles(md)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in brute_pairs(content, {p: p for p in parent}):
+        ra, rb = sorted((find(a), find(b)))
+        parent[rb] = ra
+    got = {r.page_id: r.group_id for r in near_duplicates.near_duplicate_groups(make(content, CONTENT)).collect()}
+    assert got == {p: find(p) for p in parent} and len({got[3000 + i] for i in range(14)}) == 1
+    assert near_duplicates.near_duplicate_groups(make([], CONTENT)).count() == 0
+
+
 def test_near_duplicates_of_empty_tables(make):
     assert near_duplicates.near_duplicate_pages(make([], CONTENT), make([], PAGES)).count() == 0
 
