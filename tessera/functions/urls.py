@@ -1,6 +1,6 @@
 """URL functions as Columns.
 
-A URL is cut once by the pattern of RFC 3986, appendix B; the parts are put together again in canonical form. All
+A URL is cut once, from its end, into the parts of RFC 3986, appendix B; they are put together again in canonical form. All
 functions return null for null.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 #: Ports that a scheme implies.
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -22,21 +22,38 @@ def let(value: Column, use) -> Column:
 
 def _clean(url: Column) -> Column:
     """Without the control characters that URL parsers drop."""
-    return F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    cleaned = F.regexp_replace(F.regexp_replace(url, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    return F.when(url.rlike(r"[\x00-\x20]"), cleaned).otherwise(url)
 
 
 def split_url(url: Column) -> Column:
     """The parts of a URL: scheme and host in lower case, authority, port as written, path, query, fragment; '' for those it lacks."""
 
-    def cut(u: Column) -> Column:
-        part = lambda n: F.regexp_extract(u, PARTS, n)
-        return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+    after = lambda text, taken, skip: F.substr(text, F.length(taken) + skip, F.length(text))
 
-    def with_host(p: Column) -> Column:
-        address = F.lower(F.regexp_replace(p["authority"], r"^.*@", ""))
-        return let(address, lambda a: F.struct(p["scheme"].alias("scheme"), p["authority"].alias("authority"), a.alias("address"), F.regexp_replace(a, r":[0-9]*$", "").alias("host"), F.regexp_extract(a, r":([0-9]*)$", 1).alias("port"), p["path"].alias("path"), p["query"].alias("query"), p["fragment"].alias("fragment")))
+    def off_the_end(u: Column) -> Column:
+        """The fragment, and what is before it."""
+        return let(F.substring_index(u, "#", 1), lambda x: F.struct(x.alias("u"), after(u, x, 2).alias("fragment")))
 
-    return F.when(url.isNotNull(), let(let(_clean(url), cut), with_host))
+    def off_the_query(x: Column) -> Column:
+        return let(F.substring_index(x["u"], "?", 1), lambda y: F.struct(y.alias("u"), after(x["u"], y, 2).alias("query"), x["fragment"].alias("fragment"), F.regexp_extract(y, SCHEME, 1).alias("scheme")))
+
+    def off_the_scheme(x: Column) -> Column:
+        rest = F.when(x["scheme"] != "", after(x["u"], x["scheme"], 2)).otherwise(x["u"])
+        return let(rest, lambda r: F.struct(r.alias("rest"), F.when(r.startswith("//"), F.substring_index(F.substr(r, F.lit(3), F.length(r)), "/", 1)).when(r.isNotNull(), "").alias("authority"), x["scheme"].alias("scheme"), x["query"].alias("query"), x["fragment"].alias("fragment")))
+
+    def with_host(x: Column) -> Column:
+        path = F.when(x["rest"].startswith("//"), after(x["rest"], x["authority"], 3)).otherwise(x["rest"])
+        address = F.lower(F.substring_index(x["authority"], "@", -1))
+        return let(
+            F.struct(address.alias("address"), F.regexp_extract(address, r":([0-9]*)$", 1).alias("port")),
+            lambda a: F.struct(
+                F.lower(x["scheme"]).alias("scheme"), x["authority"].alias("authority"), a["address"].alias("address"), F.regexp_replace(a["address"], r":[0-9]*$", "").alias("host"),
+                a["port"].alias("port"), path.alias("path"), x["query"].alias("query"), x["fragment"].alias("fragment"),
+            ),
+        )
+
+    return let(let(let(let(_clean(url), off_the_end), off_the_query), off_the_scheme), with_host)
 
 
 def _needed_port(p: Column) -> Column:

@@ -71,10 +71,11 @@ def gate_links(links: DataFrame, domain: Column, include: list[Rule] = [], exclu
     domain, a denied path, a URL rule, an address that is known or was discovered by an earlier link.
     """
     links = links.withColumn("domain", domain).withColumn("canonical", canonicalize_url(F.col("url"))).withColumn("contact", contact_of_href(F.col("href")))
+    links = links.withColumns({"_parts": split_url(F.col("url")), "_excluded": evaluate_link(F.col("url"), origin, include, exclude)["decision"] == "excluded"})
+    links = cut(links)  # it is read four times below, and pages' HTML only once
     # the first of a page's equal links: by partial aggregation, then a join on the page's own links
     firsts = links.groupBy("page_id", "url").agg(F.min("at").alias("first_at"))
     links = links.join(firsts, ["page_id", "url"])
-    links = links.withColumns({"_parts": split_url(F.col("url")), "_excluded": evaluate_link(F.col("url"), origin, include, exclude)["decision"] == "excluded"})
     mail = F.lower(F.trim("href")).rlike("^(mailto|tel):")
     reason = (
         F.when(F.col("at") != F.col("first_at"), "PAGE_DUPLICATE")

@@ -18,7 +18,7 @@ def _tasks(spark, sf_dir):
 
 
 def task_gates(spark, sf_dir):
-    visited = table(spark, sf_dir, "pages", "crawl_id", "url", "id").where("id % 3 = 0")
+    visited = table(spark, sf_dir, "pages", "crawl_id", "url", "status_code").where("status_code <> 200")
     return gates.gate_tasks(_tasks(spark, sf_dir), visited, limit=20, max_depth=3).select("seq", "outcome", "ticket")
 
 
