@@ -159,7 +159,7 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def fit_filters(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     """Fit on about ``sample_rows`` labelled rows, chosen by a hash of doc_id over the whole table."""
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    every = max(1, labelled.count() // sample_rows)
+    every = max(1, documents.select("lang").where("lang is not null").count() // sample_rows)  # without reading the texts
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "lang").limit(2 * sample_rows)
     counted = sample.mapInArrow(_document_grams, "lang int, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     # n-grams of one or two documents tell nothing, so what reaches the driver is bounded by the sample
