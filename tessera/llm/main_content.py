@@ -1,11 +1,11 @@
 """Problem 4: the main body of a page, without its menus, notices, sidebars, comments and footers.
 
-Minimum-cut labelling. The blocks of a page's Markdown are nodes: a classifier's log-odds become the capacity of
-its edge to the source (content) or the sink (boilerplate). Neighbours are joined by smoothness edges, strong from a heading to
-what follows it, and all blocks of one DOM region are joined to a node of that region, whose own capacity says
+Minimum-cut labelling. The blocks of a page's Markdown are nodes, of a list, table or quotation each line: a classifier's
+log-odds become the capacity of its edge to the source (content) or the sink (boilerplate). Neighbours are joined by smoothness
+edges, strong between the lines of a run and from a heading to what follows it, and all blocks of one DOM region are joined to a node of that region, whose own capacity says
 whether it looks like the region of the text. Maximum flow then separates content from boilerplate.
 
-The classifier is naive Bayes over words, link targets and forms of a line. It is fitted on a bounded sample of pages, whose
+The classifier is naive Bayes over all words, link targets and forms of a line. It is fitted on a bounded sample of pages, whose
 DOM labels them: text in the region of the page's prose, in elements for prose, is content, all else isn't; a
 heading goes with what follows it. Pages without HTML are cut on its costs and adjacency alone.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,16 +35,16 @@ from tessera.session import small_batches
 #: Pages of the training sample, about; at most twice as many.
 SAMPLE_PAGES = 3_000
 LEAST_WORDS, LEAST_COUNT = 50, 4
-#: Words of a line that are features; each one's log-odds and a line's sum are bounded.
-FIRST_WORDS, WORD_ODDS, LINE_ODDS = 24, 2.5, 6.0
-#: Capacities: neighbours, a heading that is content before something that isn't, a block and its region, a region's own.
-NEXT, HEADING, REGION, REGION_OWN = 0.5, 4.5, 8.0, 60.0
+#: Each word's log-odds and a line's sum are bounded.
+WORD_ODDS, LINE_ODDS = 2.5, 6.0
+#: Capacities: neighbours, lines of one run, a heading that is content before something that isn't, a block and its region, a region's own.
+NEXT, RUN, HEADING, REGION, REGION_OWN = 0.5, 4.0, 4.5, 8.0, 60.0
 #: Added to the log-odds by the block's element or form: prose elements, other elements of a page that has prose elements, lists of links.
 PROSE, PLAIN, LINK = 1.0, -20.0, -8.0
 #: How much a feature of a line's form counts against one of its words.
 FORM_WEIGHT = 3.0
-#: Characters of a text that are compared when a block's leaf is sought, and characters that features are read from.
-FORM_CHARS, FEATURE_CHARS = 100, 240
+#: Characters of a text that are compared when a block's leaf is sought.
+FORM_CHARS = 100
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _SPEAKER = re.compile(r"^[^\W\d_]+: ")
@@ -61,6 +62,7 @@ class Block(NamedTuple):
     words: int
     form: str  # letters and digits of its first line
     top: bool  # a first-level heading
+    run: bool = False  # of one list, table or quotation with the block before
 
 
 def _kind(line: str) -> str:
@@ -92,7 +94,7 @@ def line_features(line: str, kind: str) -> list[str]:
         if kind == "links":
             return out
         text = _LINK.sub(r"\1", line)
-    words = WORD.findall(text[:FEATURE_CHARS].lower())[:FIRST_WORDS]
+    words = WORD.findall(text.lower())
     out += {"#" if w.isdigit() else w for w in words}
     out.append(f"words {min(len(words) // 4, 6)}")
     if words:
@@ -122,7 +124,7 @@ def line_odds(features: list[str], odds: dict[str, float]) -> float:
 
 
 def blocks(markdown: str, odds: dict[str, float]) -> list[Block]:
-    """The blocks of a page: runs of list items, table rows, quoted or code lines are one block each."""
+    """The blocks of a page; each list item, table row and quoted line is one, and a fence of code is one."""
     out: list[Block] = []
     kind_before, fence = "", False
     for no, line in enumerate(markdown.split("\n")):
@@ -130,21 +132,18 @@ def blocks(markdown: str, odds: dict[str, float]) -> list[Block]:
             if not fence:
                 kind_before = ""
             continue
-        if line.lstrip().startswith("```"):
+        mark = line.lstrip().startswith("```")
+        if mark:
             fence = not fence
-            kind = "code"
-        else:
-            kind = "code" if fence else _kind(line)
-        if kind == kind_before and kind not in ("heading", "text"):
+        kind = "code" if mark or fence else _kind(line)
+        size = line.count(" ") + 1
+        if kind == kind_before == "code":
             b = out[-1]
-            more = line.count(" ") + 1
-            score = b.odds
-            if kind == "links":  # a list of links is judged by all of its links
-                score = max(-LINE_ODDS, min(LINE_ODDS, score + line_odds(line_features(line, kind), odds)))
-            out[-1] = b._replace(last=no, words=b.words + more, odds=score, form=b.form or _form(_plain(line, kind).lstrip()))
+            out[-1] = b._replace(last=no, words=b.words + size, form=b.form or _form(_plain(line, kind).lstrip()))
         else:
             score = line_odds(line_features(line, kind), odds) if kind != "code" else WORD_ODDS
-            out.append(Block(no, no, kind, score, line.count(" ") + 1, "" if line.lstrip().startswith("```") else _form(_plain(line, kind).lstrip()), kind == "heading" and not line.lstrip().startswith("##")))
+            top = kind == "heading" and not line.lstrip().startswith("##")
+            out.append(Block(no, no, kind, score, size, "" if mark else _form(_plain(line, kind).lstrip()), top, kind == kind_before and kind not in ("heading", "text")))
         kind_before = kind
     early = odds.get("early", 0.0) * FORM_WEIGHT
     if early:
@@ -171,7 +170,7 @@ def place(found: list[Block], tree: list[Leaf]) -> list[Leaf | None]:
     at, before = 0, None
     for b in found:
         places = where.get(b.form) if b.form else None
-        i = next((x for x in places if x >= at), places[0]) if places else None
+        i = places[k] if places and (k := bisect_left(places, at)) < len(places) else places[0] if places else None
         if i is not None:
             at, before = i, tree[i]
             out.append(tree[i])
@@ -197,7 +196,7 @@ def cut(capacity: list[float], edges: list[tuple[int, int, float, float]]) -> li
     """Minimum cut by maximum flow: True for nodes on the source's side.
 
     ``capacity`` is a node's edge to the source where positive, to the sink where negative; an edge (a, b, there, back)
-    has a capacity each way. Flow is sent along shortest paths from nodes with supply to nodes with demand.
+    has a capacity each way. Flow is sent from nodes with supply to nodes with demand, along all shortest paths at once.
     """
     n = len(capacity)
     rest = list(capacity)
@@ -213,36 +212,50 @@ def cut(capacity: list[float], edges: list[tuple[int, int, float, float]]) -> li
         end.append(a)
     tiny = 1e-9
     while True:
-        came = [-2] * n
-        queue: deque[int] = deque()
-        for v in range(n):
-            if rest[v] > tiny:
-                came[v] = -1
-                queue.append(v)
-        goal = -1
+        supply = [v for v in range(n) if rest[v] > tiny]
+        level = [-1] * n
+        for v in supply:
+            level[v] = 0
+        queue, far = deque(supply), n
         while queue:
             v = queue.popleft()
-            if rest[v] < -tiny:
-                goal = v
+            if level[v] >= far:
                 break
+            if rest[v] < -tiny:
+                far = level[v]
+                continue
             for e in to[v]:
-                if left[e] > tiny and came[end[e]] == -2:
-                    came[end[e]] = e
+                if left[e] > tiny and level[end[e]] < 0:
+                    level[end[e]] = level[v] + 1
                     queue.append(end[e])
-        if goal < 0:
-            return [c != -2 for c in came]
-        flow, v = -rest[goal], goal
-        while came[v] >= 0:
-            flow = min(flow, left[came[v]])
-            v = end[came[v] ^ 1]
-        flow = min(flow, rest[v])
-        rest[v] -= flow
-        rest[goal] += flow
-        v = goal
-        while came[v] >= 0:
-            left[came[v]] -= flow
-            left[came[v] ^ 1] += flow
-            v = end[came[v] ^ 1]
+        if far == n:
+            return [x >= 0 for x in level]
+        at = [0] * n  # the edge of each node that is tried next
+        for s in supply:
+            path: list[int] = []
+            v = s
+            while rest[s] > tiny:
+                if rest[v] < -tiny:
+                    flow = min(rest[s], -rest[v], min(left[e] for e in path))
+                    for e in path:
+                        left[e] -= flow
+                        left[e ^ 1] += flow
+                    rest[s] -= flow
+                    rest[v] += flow
+                    path.clear()
+                    v = s
+                elif at[v] < len(to[v]):
+                    e = to[v][at[v]]
+                    if left[e] > tiny and level[end[e]] == level[v] + 1:
+                        path.append(e)
+                        v = end[e]
+                    else:
+                        at[v] += 1
+                elif path:
+                    v = end[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
 
 
 def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -> list[int]:
@@ -259,6 +272,12 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
     capacity: list[float] = []
     edges: list[tuple[int, int, float, float]] = []
     regions: dict[int, int] = {}
+    inside: dict[int, list[int]] = {}  # the blocks of each region, and its runs
+    for b, leaf in zip(found, spots):
+        if leaf is not None:
+            count = inside.setdefault(leaf.region, [0, 0])
+            count[0] += 1
+            count[1] += not b.run
     for i, (b, leaf) in enumerate(zip(found, spots)):
         score = b.odds if leaf is None else max(-LINE_ODDS, min(LINE_ODDS, b.odds))
         if b.kind == "links":
@@ -268,13 +287,15 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
         capacity.append(score)
         if i:
             section = found[i - 1].kind == "heading" and not found[i - 1].top and b.kind != "heading"
-            edges.append((i - 1, i, HEADING if section else NEXT, NEXT))
+            edges.append((i - 1, i, RUN, RUN) if b.run else (i - 1, i, HEADING if section else NEXT, NEXT))
     for i, leaf in enumerate(spots):
         if leaf is not None:
             node = regions.get(leaf.region)
             if node is None:
                 node = regions[leaf.region] = len(capacity)
-                capacity.append(REGION_OWN if leaf.region == main else -REGION_OWN)
+                lines_in, runs_in = inside[leaf.region]
+                own = REGION_OWN * lines_in / max(runs_in, 1)  # as strong against a run, however many lines it has
+                capacity.append(own if leaf.region == main else -own)
             edges.append((i, node, REGION, REGION))
     side = cut(capacity, edges)
     kept = [b for b, s in zip(found, side) if s]
@@ -297,9 +318,13 @@ def _labelled(html: str, markdown: str) -> Iterator[tuple[list[str], bool]]:
             good[i] = good[i] and good[i + 1]
     enough = sum(b.words for b, g in zip(found, good) if g) >= LEAST_WORDS
     top = next((i for i, b in enumerate(found) if b.top), 0)
+    held: list[str] = []  # a list of links counts once, with all of its links, else menus outweigh the lines of words
     for i, (b, g) in enumerate(zip(found, good)):
         if b.kind != "code":
-            yield line_features(lines[b.first], b.kind) + ["early"] * (i < top), g and enough
+            held += line_features(lines[b.first], b.kind) + ["early"] * (i < top)
+            if b.kind != "links" or i + 1 == len(found) or not found[i + 1].run or good[i + 1] != g:
+                yield held, g and enough
+                held = []
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

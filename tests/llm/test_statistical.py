@@ -210,6 +210,18 @@ def test_main_body(make):
     assert main_content.main_body(make([], CONTENT)).count() == 0
 
 
+def test_every_word_and_every_line_is_judged():
+    assert "zephyr" in main_content.line_features("word " * 300 + "zephyr", "text")
+    odds = {w: 2.5 for w in WORDS[:12]} | {w: -2.5 for w in WORDS[12:]}
+    good, bad = " ".join(WORDS[:12]), " ".join(WORDS[12:])
+    for mark in ("> ", "* ", "| "):
+        body = [good] * 5 + ["", mark + good, mark + good, mark + bad, mark + bad]
+        assert main_content.main_lines(None, "\n".join(body), odds) == [0, 1, 2, 3, 4, 6, 7], mark
+    late = "of " * 60
+    assert main_content.main_lines(None, "\n".join([good] * 5 + ["", late + good, "", late + bad]), odds) == [0, 1, 2, 3, 4, 6]
+    assert len(main_content.main_lines(None, "\n".join(["* " + good] * 20_000), odds)) == 20_000
+
+
 def brute_cut(capacity, edges):
     """The least cost over all labellings."""
     n, best = len(capacity), float("inf")
