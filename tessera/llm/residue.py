@@ -5,10 +5,11 @@ without samples of code; and filler, as a paragraph mostly of the words of the u
 
 Error messages and notices are found by comparison, whatever the status code: a page is a case when it has little text of its
 own and the terms of its address appear neither in its title nor in its body. Text is a page's own when it is
-no link and its line isn't repeated over several addresses of its host. A page whose address gives no verdict is judged by
+no link and its line isn't repeated over pages of several names of its host. A page whose address gives no verdict is judged by
 evidence of all hosts: its own lines are served by several of them.
 
-The HTML is scanned once, narrow; what is shuffled is one hash for each short line of a page. Counts cover all pages.
+The HTML is scanned once, narrow; what is shuffled is one hash for each line of a page, and the words of the lines for the
+join with the few pages that have little text of their own. Counts cover all pages and lines, however long.
 """
 
 from __future__ import annotations
@@ -44,13 +45,12 @@ STOCK = re.compile(
     re.I,
 )
 LATIN_WORDS, LATIN_PART, STOCK_LINES = 8, 0.5, 2
-#: A page with more words outside links isn't compared; one with fewer words of its own has little text.
-MOST_WORDS, OWN_WORDS = 300, 60
-#: A line is its host's when this many pages and two addresses there have it; an error is known when this many hosts serve it.
+#: A page with fewer words of its own has little text.
+OWN_WORDS = 60
+#: A line is its host's when pages of this many names there have it, copies of one page counting once; an error is known when this many hosts serve it.
 HOST_PAGES, HOSTS = 3, 3
 #: Part of the address's terms that a page of its own contains; terms are this long at least.
 TERMS_PART, TERM_CHARS = 0.5, 4
-LONGEST_LINE = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -70,36 +70,37 @@ def has_residue(title: str, description: str, texts: list[str]) -> bool:
     return stock >= STOCK_LINES
 
 
+def _terms(text: str) -> str:
+    """The different words of a text that an address's term can begin, each after a space."""
+    return "".join(sorted({" " + w for w in _LETTERS.findall(text.lower()) if len(w) >= TERM_CHARS}))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, residue, total, lines, sizes, terms = [], [], [], [], [], []
+        ids, residue, lines, sizes, titles, terms = [], [], [], [], [], []
         for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             title = title_of(html)
             tree = leaves(html, code=False)
             texts = [leaf.text for leaf in tree if leaf.text]
             residue.append(has_residue(title, description_of(html), texts))
             own = [leaf.text for leaf in tree if not (leaf.tag == "li" and leaf.linked >= len(leaf.text.strip()))]
-            counts = [t.count(" ") + 1 for t in own]
-            h = [xxhash.xxh3_64_intdigest("".join(WORD.findall(t.lower()))) >> 1 for t, n in zip(own, counts) if n <= LONGEST_LINE]
             ids.append(page)
-            # a long line is never the host's, so only its words count
-            total.append(sum(n for n in counts if n > LONGEST_LINE))
-            lines.append(h)
-            sizes.append([n for n in counts if n <= LONGEST_LINE])
-            low = sum(counts) <= MOST_WORDS
-            terms.append(sorted({w for t in [title, *own] for w in _LETTERS.findall(t.lower())}) if low else None)
+            lines.append([xxhash.xxh3_64_intdigest("".join(WORD.findall(t.lower()))) >> 1 for t in own])
+            sizes.append([t.count(" ") + 1 for t in own])
+            titles.append(_terms(title))
+            terms.append([_terms(t) for t in own])
         offsets = np.cumsum([0, *map(len, lines)])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()), pa.array(residue), pa.array(total, pa.int32()),
+                pa.array(ids, pa.int64()), pa.array(residue),
                 int_list(offsets, np.fromiter((x for k in lines for x in k), np.int64, int(offsets[-1]))), int_list(offsets, np.fromiter((x for k in sizes for x in k), np.int32, int(offsets[-1]))),
-                pa.array(terms, pa.list_(pa.string())),
+                pa.array(titles, pa.string()), pa.array(terms, pa.list_(pa.string())),
             ],
-            names=["page_id", "residue", "long_words", "lines", "sizes", "terms"],
+            names=["page_id", "residue", "lines", "sizes", "title", "terms"],
         )
 
 
-_SCANNED = "page_id bigint, residue boolean, long_words int, lines array<bigint>, sizes array<int>, terms array<string>"
+_SCANNED = "page_id bigint, residue boolean, lines array<bigint>, sizes array<int>, title string, terms array<string>"
 
 
 def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFrame:
@@ -118,26 +119,25 @@ def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFram
     parts = F.split(slug, r"[-_.]+")
     # what follows the last two marks is an id and a word that may have been cut short; the host's own words tell nothing
     named = F.when(F.size(parts) > 3, F.slice(parts, 1, F.size(parts) - 2)).otherwise(parts)
-    sites = pages.select(F.col("id").alias("page_id"), host.alias("host"), F.xxhash64(address).alias("url"), F.filter(named, lambda x: (F.length(x) >= TERM_CHARS) & ~F.contains(host, x)).alias("named")).where("host <> ''")
-    placed = scanned.drop("terms", "sizes", "long_words", "residue").join(sites.select("page_id", "host", "url"), "page_id")
-    each = placed.select("host", "url", F.explode(F.array_distinct("lines")).alias("line"))
-    per_host = each.groupBy("host", "line").agg(F.count("*").alias("n"), (F.min("url") != F.max("url")).alias("several"))
-    low = scanned.where("terms is not null and not residue").join(sites, "page_id")
-    asked = low.select("page_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("page_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
-    wanted = asked.select("line").distinct()
-    counted = per_host.join(wanted, "line", "left_semi")
-    hosts = counted.groupBy("line").agg(F.count("*").alias("hosts"))
-    marked = asked.join(counted, ["host", "line"]).join(hosts, "line")
-    furniture = (F.col("n") >= HOST_PAGES) & F.col("several")
-    own = marked.groupBy("page_id").agg(
-        F.sum(F.when(~furniture, F.col("words")).otherwise(0)).alias("own_words"),
-        F.sum(F.when(~furniture & (F.col("hosts") < HOSTS), F.col("words")).otherwise(0)).alias("rare_words"),
-    )
-    hit = F.filter("named", lambda t: F.exists("terms", lambda w: F.startswith(w, t)))
-    strange = F.size(hit) < TERMS_PART * F.size("named")
-    short = F.coalesce("own_words", F.lit(0)) + F.col("long_words") < OWN_WORDS
-    known = (F.coalesce("rare_words", F.lit(0)) == 0) & (F.size("named") == 0)
-    errors = low.join(own, "page_id", "left").where(short & (strange | known)).select("page_id")
+    name = F.xxhash64(F.array_join(named, "-"))
+    sites = pages.select(F.col("id").alias("page_id"), host.alias("host"), name.alias("name"), F.filter(named, lambda x: (F.length(x) >= TERM_CHARS) & ~F.contains(host, x)).alias("named")).where("host <> ''")
+    placed = scanned.select("page_id", "residue", "lines", "sizes").join(sites.select("page_id", "host", "name"), "page_id")
+    each = placed.select("host", "name", F.explode(F.array_distinct("lines")).alias("line"))
+    furniture = each.select(F.xxhash64("host", "line").alias("key"), "name").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_PAGES).select("key")
+    said = placed.where("not residue").select("page_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
+    mine = said.select("page_id", F.xxhash64("host", "x.lines").alias("key"), F.col("x.lines").alias("line"), F.col("x.sizes").alias("words")).join(furniture, "key", "left_anti")
+    own = mine.groupBy("page_id").agg(F.sum("words").alias("own_words"), F.collect_set("line").alias("own_lines"))
+    little = placed.where("not residue").select("page_id").join(own, "page_id", "left").where(F.coalesce("own_words", F.lit(0)) < OWN_WORDS).select("page_id", F.coalesce("own_lines", F.expr("cast(array() as array<bigint>)")).alias("own_lines"))
+    near = cut(little.join(sites.select("page_id", "named"), "page_id").join(scanned.select("page_id", "lines", "title", "terms"), "page_id"))
+    spoken = F.filter(F.arrays_zip("lines", "terms"), lambda x: F.array_contains("own_lines", x["lines"]))
+    text = F.concat("title", F.array_join(F.transform(spoken, lambda x: x["terms"]), ""))
+    hit = F.filter("named", lambda t: F.contains(F.col("text"), F.concat(F.lit(" "), t)))
+    strange = near.withColumn("text", text).where(F.size(hit) < TERMS_PART * F.size("named")).select("page_id")
+    mute = near.where(F.size("named") == 0)
+    lines = mute.select("page_id", F.explode("own_lines").alias("line"))
+    hosts = each.select("host", "line").join(lines.select("line").distinct(), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("hosts"))
+    rare = lines.join(hosts.where(F.col("hosts") < HOSTS), "line", "left_semi").select("page_id")
+    errors = strange.unionByName(mute.select("page_id").join(rare, "page_id", "left_anti"))
     return scanned.where("residue").select("page_id").unionByName(errors)
 
 

@@ -286,6 +286,20 @@ def test_residue(make):
     assert residue.pages_without_content(make([], CONTENT), make([], PAGES)).count() == 0
 
 
+def test_messages_inside_a_heavy_template(make):
+    rng = random.Random(16)
+    heavy = "".join(f"<div>{say(rng, 80)} mango papaya</div>" for _ in range(5))
+    page = "<html><head><title>{t}</title></head><body>{h}<h1>{t}</h1>{b}</body></html>"
+    names = [f"{rng.choice(WORDS)}-topic{chr(97 + i)}-{rng.choice(WORDS)}-cut-x{i}" for i in range(8)]
+    rows = [(i, page.format(t=n.replace("-", " "), h=heavy, b=f"<p>{say(rng, 70)}</p>"), None) for i, n in enumerate(names)]
+    rows += [(20, page.format(t="Not found", h=heavy, b="<p>Sorry.</p>"), None), (21, page.format(t="Other title", h=heavy, b=f"<p>{say(rng, 90)}</p>"), None)]
+    copies = page.format(t="Other title", h=heavy, b=f"<p>{say(rng, 90)}</p>")
+    rows += [(30 + i, copies, None) for i in range(4)]
+    slug = dict(enumerate(names)) | {20: "mango-papaya-mango-cut-y", 21: "guava-lychee-guava-cut-y"} | {30 + i: f"guava-lychee-kumquat-cut-y?ref={i}" for i in range(4)}
+    pages = make([(i, "c", None, f"https://site.example/a/{s}", None) for i, s in slug.items()], PAGES)
+    assert [r.page_id for r in residue.pages_without_content(make(rows, CONTENT), pages).collect()] == [20]
+
+
 # -- languages ----------------------------------------------------------------------------------------
 
 SAY = {
