@@ -1,7 +1,7 @@
 """Problem 6: pages that hold template residue, filler text, an error message or a notice that scripts are needed.
 
 Two detectors look at one page: patterns of unfilled placeholders, in its title, meta description and visible text
-without samples of code; and filler, as a paragraph mostly of the words of the usual dummy Latin or several stock sentences.
+without samples of code; and filler, as a stretch of text mostly of the words of the usual dummy Latin, a stock sentence alone in its element or several within texts.
 
 Error messages and notices are found by comparison, whatever the status code: a page is a case when it has little text of its
 own and the terms of its address appear neither in its title nor in its body. Text is a page's own when it is
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,15 @@ STOCK = re.compile(
     r"|demo block|replace this (?:paragraph|text)|insert your (?:text|content) here|add your (?:text|content) here",
     re.I,
 )
-LATIN_WORDS, LATIN_PART, STOCK_LINES = 8, 0.5, 2
+#: Stock sentences that are filler where nothing else stands in their element (fixed values).
+STOCK_ALONE = re.compile(
+    r"(?:(?:your text goes here|replace this (?:paragraph|text) with your own (?:story|text|content)|this is a sample page|edit it or delete it, then start writing|click the edit button to change this text"
+    r"|placeholder (?:headline|text|heading)(?: number)?(?: \d+)?|sample product|describe colou?r, size and materials?|(?:add a )?short description of your service(?: in this box)?"
+    r"|write something about yourself(?: here)?(?:; visitors love it)?|(?:just another )?demo block(?:, to be filled in by the client)?|(?:insert|add) your (?:text|content) here)[\s.!…]*)+",
+    re.I,
+)
+#: Filler is half dummy Latin in any stretch of this many words, or in a whole shorter text; a text of fewer words than LATIN_WORDS must be nothing else.
+LATIN_STRETCH, LATIN_WORDS, LATIN_LEAST, LATIN_PART, STOCK_LINES = 60, 8, 4, 0.5, 2
 #: A page with fewer words of its own has little text.
 OWN_WORDS = 60
 #: A line is its host's when pages of this many names there have it, copies of one page counting once; an error is known when this many hosts serve it.
@@ -54,6 +63,28 @@ TERMS_PART, TERM_CHARS = 0.5, 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def is_latin(text: str) -> bool:
+    """Whether a text is dummy Latin, wholly or in any stretch of its words or any of its sentences."""
+    words = text.split()
+    if len(words) < LATIN_LEAST:
+        return False
+    upto = [0, *accumulate(w.strip(".,;:!?\"'()").lower() in LATIN for w in words)]
+    if len(words) < LATIN_WORDS:
+        return upto[-1] == len(words)
+    if upto[-1] < LATIN_WORDS * LATIN_PART:
+        return False
+    n = min(len(words), LATIN_STRETCH)
+    if any(upto[i + n] - upto[i] >= LATIN_PART * n for i in range(len(words) - n + 1)):
+        return True
+    first = 0  # of a sentence that is nothing but Latin, however short the stretch
+    for i, w in enumerate(words, 1):
+        if w[-1] in ".!?" or i == len(words):
+            if i - first >= LATIN_WORDS and upto[i] - upto[first] == i - first:
+                return True
+            first = i
+    return False
+
+
 def has_residue(title: str, description: str, texts: list[str]) -> bool:
     """Whether a page has an unfilled placeholder or filler text."""
     if PLACEHOLDER.search(title) or PLACEHOLDER.search(description):
@@ -64,8 +95,9 @@ def has_residue(title: str, description: str, texts: list[str]) -> bool:
             return True
         if STOCK.search(text):
             stock += 1
-        words = text.split(None, 60)[:60]
-        if len(words) >= LATIN_WORDS and sum(w.strip(".,;:").lower() in LATIN for w in words) >= LATIN_PART * len(words):
+            if STOCK_ALONE.fullmatch(text.strip()):
+                return True
+        if is_latin(text):
             return True
     return stock >= STOCK_LINES
 

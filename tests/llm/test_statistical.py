@@ -300,6 +300,15 @@ def test_messages_inside_a_heavy_template(make):
     assert [r.page_id for r in residue.pages_without_content(make(rows, CONTENT), pages).collect()] == [20]
 
 
+def test_filler_anywhere_in_a_text():
+    rng = random.Random(18)
+    real, latin = say(rng, 200) + ".", "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do eiusmod tempor."
+    for text in (f"{real} {latin * 1} {real}", f"{real} " + latin.replace(".", "") * 4, "Dolor sit amet elit", "Your text goes here.", "Placeholder headline number 3"):
+        assert residue.has_residue("", "", [real, text]), text
+    for text in (real, "Lorem ipsum", f"Printers set lorem ipsum dolor sit amet to judge a type. {real}", "Why does a page say your text goes here?", "in et id", ""):
+        assert not residue.has_residue("", "", [real, text]), text
+
+
 # -- languages ----------------------------------------------------------------------------------------
 
 SAY = {
