@@ -9,7 +9,9 @@ The classifier is naive Bayes over all words, link targets and forms of a line.
 DOM labels them: text in the region of the page's prose, in elements for prose, is content, all else isn't; a
 heading goes with what follows it. Pages without HTML are cut on its costs and adjacency alone.
 
-A page that keeps fewer than ``LEAST_WORDS`` words holds a message or a notice and no body: it keeps nothing.
+A page that keeps fewer than ``LEAST_WORDS`` words may hold a message or a notice and no body. It keeps nothing if the terms of its
+address are neither in its title nor in its lines, or, where the address has none, if each of its lines stands on several
+short pages. A page without evidence keeps its lines. Such pages take no part in training.
 
 Fitting reads the whole table for the sample, cutting reads it once more; both are narrow and nothing is joined.
 """
@@ -23,18 +25,21 @@ from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.dom import Leaf, leaves
+from tessera.llm.dom import Leaf, leaves, title_of
+from tessera.llm.residue import TERMS_PART, addresses, terms_of
 from tessera.llm.textscan import WORD
+from tessera.session import cut as cut_lineage
 from tessera.session import small_batches
 
 #: Pages of the training sample, about; at most twice as many.
 SAMPLE_PAGES = 3_000
 LEAST_WORDS, LEAST_COUNT = 50, 4
+#: A line of a message stands on this many short pages.
+MESSAGE_PAGES = 3
 #: Each word's log-odds and a line's sum are bounded.
 WORD_ODDS, LINE_ODDS = 2.5, 6.0
 #: Capacities: neighbours, lines of one run, a heading that is content before something that isn't, a block and its region, a region's own.
@@ -258,11 +263,14 @@ def cut(capacity: list[float], edges: list[tuple[int, int, float, float]]) -> li
                     break
 
 
+def is_short(lines: list[str]) -> bool:
+    """Whether a page's main lines may be a message only."""
+    return sum(line.count(" ") + 1 for line in lines) < LEAST_WORDS
+
+
 def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -> list[int]:
-    """The numbers of the non-blank lines that are main body."""
-    if not markdown:
-        return []
-    found = blocks(markdown, odds)
+    """The numbers of the non-blank lines that are main body, or a message in place of it."""
+    found = blocks(markdown, odds) if markdown else []
     if not found:
         return []
     tree = leaves(html) if html else []
@@ -299,8 +307,6 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
             edges.append((i, node, REGION, REGION))
     side = cut(capacity, edges)
     kept = [b for b, s in zip(found, side) if s]
-    if sum(b.words for b in kept) < LEAST_WORDS:
-        return []
     lines = markdown.split("\n")
     return [no for b in kept for no in range(b.first, b.last + 1) if lines[no] and not lines[no].isspace()]
 
@@ -316,14 +322,15 @@ def _labelled(html: str, markdown: str) -> Iterator[tuple[list[str], bool]]:
     for i in range(len(found) - 2, -1, -1):
         if found[i].kind == "heading" and spots[i] is not None and spots[i].tag != "h1":
             good[i] = good[i] and good[i + 1]
-    enough = sum(b.words for b, g in zip(found, good) if g) >= LEAST_WORDS
+    if is_short([line for b, g in zip(found, good) if g for line in lines[b.first : b.last + 1]]):
+        return  # a message or a short body: the page alone doesn't tell
     top = next((i for i, b in enumerate(found) if b.top), 0)
     held: list[str] = []  # a list of links counts once, with all of its links, else menus outweigh the lines of words
     for i, (b, g) in enumerate(zip(found, good)):
         if b.kind != "code":
             held += line_features(lines[b.first], b.kind) + ["early"] * (i < top)
             if b.kind != "links" or i + 1 == len(found) or not found[i + 1].run or good[i + 1] != g:
-                yield held, g and enough
+                yield held, g
                 held = []
 
 
@@ -350,11 +357,15 @@ def fit_odds(page_content: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[
     return {r.feature: bound(math.log((r.good + 0.5) / (total[0] + 1)) - math.log((r.bad + 0.5) / (total[1] + 1))) for r in rows if r.feature}
 
 
-def main_body(page_content: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+_KEPT = "page_id bigint, lines array<int>, short boolean, forms array<string>, terms string"
+
+
+def main_body(page_content: DataFrame, pages: DataFrame | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """(page_id, line_no) of the non-blank lines of raw_markdown that are main body.
 
     Lines are the pieces between line feeds, numbered from 0. A page with null or empty Markdown has none; one with null
-    HTML is judged by its Markdown. Repeated rows repeat; an empty table gives no row.
+    HTML is judged by its Markdown. Repeated rows repeat; an empty table gives no row. ``pages`` gives the addresses by
+    which messages are told from short bodies; without it, or an address there, repeated lines tell them.
     """
     spark = page_content.sparkSession
     small_batches(spark, 500)
@@ -363,8 +374,25 @@ def main_body(page_content: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odds = sent.value
         for batch in batches:
-            kept = [main_lines(h, m, odds) for h, m in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in kept])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([no for k in kept for no in k], pa.int32())], names=["page_id", "line_no"])
-
-    return page_content.select("page_id", "raw_html", "raw_markdown").where("raw_markdown is not null and page_id is not null").mapInArrow(run, "page_id bigint, line_no int")
+            kept, short, forms, terms = [], [], [], []
+            for html, markdown in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept.append(main_lines(html, markdown, odds))
+                every = markdown.split("\n")
+                lines = [every[no] for no in kept[-1]]
+                short.append(is_short(lines))
+                forms.append([_form(line) for line in lines] if short[-1] else None)
+                terms.append(terms_of("\n".join([title_of(html or ""), *lines])) if short[-1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(short), pa.array(forms, pa.list_(pa.string())), pa.array(terms, pa.string())], names=["page_id", "lines", "short", "forms", "terms"])
+
+    kept = cut_lineage(page_content.select("page_id", "raw_html", "raw_markdown").where("raw_markdown is not null and page_id is not null").mapInArrow(run, _KEPT).where("size(lines) > 0"))
+    low = kept.where("short").select("page_id", "forms", "terms")
+    if pages is None:
+        low = low.withColumn("named", F.expr("cast(array() as array<string>)"))
+    else:
+        low = low.join(addresses(pages).select("page_id", "named"), "page_id", "left").withColumn("named", F.coalesce("named", F.expr("cast(array() as array<string>)")))
+    strange = low.where(F.size(F.filter("named", lambda t: F.contains(F.col("terms"), F.concat(F.lit(" "), t)))) < TERMS_PART * F.size("named")).select("page_id")
+    form = low.select("page_id", F.explode(F.array_distinct("forms")).alias("form")).distinct()
+    often = form.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= MESSAGE_PAGES).select("form")
+    rare = form.join(often, "form", "left_anti").select("page_id")
+    messages = strange.unionByName(low.where(F.size("named") == 0).select("page_id").join(rare, "page_id", "left_anti"))
+    return kept.where("not short").select("page_id", F.explode("lines").alias("line_no")).unionByName(kept.where("short").join(messages, "page_id", "left_anti").select("page_id", F.explode("lines").alias("line_no")))

@@ -33,7 +33,7 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_content.main_body(table(spark, sf_dir, "page_content"))
+    return main_content.main_body(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

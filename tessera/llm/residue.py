@@ -102,7 +102,7 @@ def has_residue(title: str, description: str, texts: list[str]) -> bool:
     return stock >= STOCK_LINES
 
 
-def _terms(text: str) -> str:
+def terms_of(text: str) -> str:
     """The different words of a text that an address's term can begin, each after a space."""
     return "".join(sorted({" " + w for w in _LETTERS.findall(text.lower()) if len(w) >= TERM_CHARS}))
 
@@ -119,8 +119,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(page)
             lines.append([xxhash.xxh3_64_intdigest("".join(WORD.findall(t.lower()))) >> 1 for t in own])
             sizes.append([t.count(" ") + 1 for t in own])
-            titles.append(_terms(title))
-            terms.append([_terms(t) for t in own])
+            titles.append(terms_of(title))
+            terms.append([terms_of(t) for t in own])
         offsets = np.cumsum([0, *map(len, lines)])
         yield pa.RecordBatch.from_arrays(
             [
@@ -135,6 +135,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCANNED = "page_id bigint, residue boolean, lines array<bigint>, sizes array<int>, title string, terms array<string>"
 
 
+def addresses(pages: DataFrame) -> DataFrame:
+    """(page_id, host, name, named) of the pages that have an address: the name in it, and the terms of that name that tell something."""
+    address = F.lower("canonical_url")
+    host = F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1)
+    slug = F.regexp_extract(F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"([^/]*)/*$", 1)
+    parts = F.split(slug, r"[-_.]+")
+    # what follows the last two marks is an id and a word that may have been cut short; the host's own words tell nothing
+    named = F.when(F.size(parts) > 3, F.slice(parts, 1, F.size(parts) - 2)).otherwise(parts)
+    name = F.xxhash64(F.array_join(named, "-"))
+    return pages.select(F.col("id").alias("page_id"), host.alias("host"), name.alias("name"), F.filter(named, lambda x: (F.length(x) >= TERM_CHARS) & ~F.contains(host, x)).alias("named")).where("host <> ''")
+
+
 def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFrame:
     """(page_id) of each page whose raw_html is template residue, filler, an error message or a notice.
 
@@ -145,14 +157,7 @@ def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFram
     small_batches(spark, 500)
     html = page_content.select("page_id", "raw_html").where("page_id is not null and length(raw_html) > 0")
     scanned = cut(html.mapInArrow(_scan, _SCANNED))
-    address = F.lower("canonical_url")
-    host = F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1)
-    slug = F.regexp_extract(F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"([^/]*)/*$", 1)
-    parts = F.split(slug, r"[-_.]+")
-    # what follows the last two marks is an id and a word that may have been cut short; the host's own words tell nothing
-    named = F.when(F.size(parts) > 3, F.slice(parts, 1, F.size(parts) - 2)).otherwise(parts)
-    name = F.xxhash64(F.array_join(named, "-"))
-    sites = pages.select(F.col("id").alias("page_id"), host.alias("host"), name.alias("name"), F.filter(named, lambda x: (F.length(x) >= TERM_CHARS) & ~F.contains(host, x)).alias("named")).where("host <> ''")
+    sites = addresses(pages)
     placed = scanned.select("page_id", "residue", "lines", "sizes").join(sites.select("page_id", "host", "name"), "page_id")
     each = placed.select("host", "name", F.explode(F.array_distinct("lines")).alias("line"))
     furniture = each.select(F.xxhash64("host", "line").alias("key"), "name").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_PAGES).select("key")

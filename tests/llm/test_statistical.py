@@ -222,6 +222,19 @@ def test_every_word_and_every_line_is_judged():
     assert len(main_content.main_lines(None, "\n".join(["* " + good] * 20_000), odds)) == 20_000
 
 
+def test_short_bodies_are_kept_and_messages_are_not(make):
+    rng = random.Random(20)
+    made = [page_fixture(i, rng, error=i % 9 == 8) for i in range(60)]
+    body = "<html><head><title>Quartz kettle</title></head><body><div><ul><li><a href=/h>Home</a></li></ul></div><div><h1>Quartz kettle</h1><p>Opens again in the velvet harbor.</p></div></body></html>"
+    text = "# Quartz kettle\n\nOpens again in the velvet harbor."
+    rows = [(i, h, m) for i, (h, m, _) in enumerate(made)] + [(500, body, text), (501, body, text)]
+    slug = {500: "quartz-kettle", 501: "meadow-timber"}
+    pages = make([(i, "c", None, f"https://site.example/a/{s}", None) for i, s in slug.items()], PAGES)
+    got = {tuple(r) for r in main_content.main_body(make(rows, CONTENT), pages).collect()}
+    assert {x for x in got if x[0] >= 500} == {(500, 0), (500, 2)}
+    assert not {p for p, _ in got if p < 500 and p % 9 == 8}
+
+
 def brute_cut(capacity, edges):
     """The least cost over all labellings."""
     n, best = len(capacity), float("inf")
