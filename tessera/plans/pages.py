@@ -13,7 +13,7 @@ from tessera.operators import gates, jobs, reads, rollup
 from tessera.operators.rules import evaluate_findings
 from tessera.plans.findings import FINDINGS_SQL, findings
 from tessera.plans.urls import _sql
-from tessera.session import small_batches
+from tessera.session import bound_batches
 from tessera.sources.tables import table
 
 
@@ -174,7 +174,7 @@ def payload_states(spark, sf_dir):
 
 def html_markdown(spark, sf_dir):
     """Every page's HTML as Markdown, by this engine's own converter."""
-    small_batches(spark, 500)
+    bound_batches(spark)
     rows = table(spark, sf_dir, "page_content", "page_id", "raw_html").where("length(raw_html) > 0")
     return rows.select("page_id", P.html_to_markdown(F.col("raw_html")).alias("markdown"))
 

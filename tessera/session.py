@@ -16,10 +16,13 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench. It never overrides a running session."""
@@ -54,11 +57,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it from there; its lineage ends here."""
+    """Write ``df`` to the shared folder and read it from there; its lineage ends here.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files once the result is no longer referred to.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that travel to Python at once, for tables of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes that travel to Python at once, unless the session has a bound of its own.
+
+    The bound is the same for all operators, so it doesn't matter which of them ran last, and very long texts travel alone.
+    """
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
