@@ -6,8 +6,8 @@ canonical string is made. Field hashes are combined without regard to their orde
 doesn't count. Rows that fail the comparison (a collision) are grouped again under another seed until none is left.
 
 Grouping is a partial aggregate, so a group that holds a third of all rows reaches the shuffle as one row
-for each task. The join back to the rows touches only groups of two or more; adaptive execution splits it where
-one group is large.
+for each task. The first row's value rides in it (a sort-based aggregate), which spares a second shuffle of all rows. The join back to
+the rows touches only groups of two or more and is one that adaptive execution splits, so a large group's rows are compared by many tasks.
 """
 
 from __future__ import annotations
@@ -19,19 +19,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textscan import fold_table, mix
-from tessera.session import cut, small_batches
+from tessera.llm.textscan import code_points, fold_table, mix
+from tessera.operators.joins import split_join
+from tessera.session import bound_batches, cut
 
 SEPARATORS = ";|"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))  # odd, so powers never vanish
 
 
-def field_hashes(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each non-empty field of the texts: the text's index and two rolling hashes of its folded characters."""
+def _codes(texts: list[str], separators: str) -> tuple[np.ndarray, np.ndarray]:
+    """What each character of the texts counts as, and its text's index."""
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    code = fold_table(SEPARATORS)[cp]
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    return fold_table(separators)[code_points("".join(texts))], np.repeat(np.arange(len(texts)), lengths)
+
+
+def field_hashes(texts: list[str], seed: int = 0, separators: str = SEPARATORS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each non-empty field of the texts: the text's index and two rolling hashes of its folded characters."""
+    code, owner = _codes(texts, separators)
     field = np.cumsum(code == 1) + owner  # differs between fields and between texts
     kept = code > 1
     code, owner, field = code[kept].astype(np.uint64), owner[kept], field[kept]
@@ -49,9 +53,9 @@ def field_hashes(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarra
     return owner[starts], out[0], out[1]
 
 
-def record_keys(texts: list[str], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each text, equal for texts with the same fields in any order."""
-    owner, a, b = field_hashes(texts, seed)
+def record_keys(texts: list[str], seed: int = 0, separators: str = SEPARATORS) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each text, equal for texts with the same fields in any order; without ``separators`` a text is one field."""
+    owner, a, b = field_hashes(texts, seed, separators)
     keys = []
     for h in (a, b):
         total = np.zeros(len(texts), dtype=np.uint64)
@@ -91,6 +95,20 @@ def _fields(text: str) -> list[tuple[int, int]]:
     return [*out, (at, len(text))] if filled else out
 
 
+def same_in_order(left: list[str], right: list[str], separators: str = SEPARATORS) -> np.ndarray:
+    """For each pair of texts, whether their letters, digits and separators agree in order.
+
+    Both pointers of all pairs move at once: the places that count of one side are laid beside those of the other, pair by pair.
+    """
+    (a, of_a), (b, of_b) = _codes(left, separators), _codes(right, separators)
+    at_a, at_b = np.flatnonzero(a), np.flatnonzero(b)
+    n_a, n_b = (np.bincount(of[at], minlength=len(left)) for of, at in ((of_a, at_a), (of_b, at_b)))
+    same = n_a == n_b
+    at_a, at_b = at_a[same[of_a[at_a]]], at_b[same[of_b[at_b]]]
+    same[of_a[at_a[a[at_a] != b[at_b]]]] = False
+    return same
+
+
 def same_record(a: str, b: str) -> bool:
     """Whether two values have the same fields in any order: each field of one is matched with one of equal hash of the other."""
     if a == b:
@@ -116,11 +134,11 @@ _KEYED = "id bigint, scope string, kind string, value string, k0 bigint, v0 bigi
 
 
 def _keyed(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` (id, scope, kind, value) with the keys of kind and value."""
+    """``rows`` (id, scope, kind, value) with the keys of kind, as one field, and of value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, _ = record_keys(batch.column(2).to_pylist(), seed)
+            kind, _ = record_keys(batch.column(2).to_pylist(), seed, "")
             v0, v1 = record_keys(batch.column(3).to_pylist(), seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kind), pa.array(v0), pa.array(v1)], names=["id", "scope", "kind", "value", "k0", "v0", "v1"])
 
@@ -132,9 +150,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, copy, ka, va, kb, vb = (c.to_pylist() for c in batch.columns)
-            same = [same_folded(p, q) and same_record(x, y) for p, q, x, y in zip(ka, kb, va, vb)]
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(copy, pa.int64()), pa.array(same)], names=["first_id", "copy_id", "same"])
+            ka, va, kb, vb = (c.to_pylist() for c in batch.columns[2:])
+            same = same_in_order(va, vb)
+            for i in np.flatnonzero(~same):  # fields in another order, or empty ones between them
+                same[i] = same_record(va[i], vb[i])
+            same &= same_in_order(ka, kb, "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], names=["first_id", "copy_id", "same"])
 
     return pairs.select("first_id", "copy_id", "first_kind", "first_value", "kind", "value").mapInArrow(run, "first_id bigint, copy_id bigint, same boolean")
 
@@ -148,16 +169,17 @@ def copies(rows: DataFrame, seed: int = 0, rounds: int = 8) -> DataFrame:
     ``rows`` has id, scope, kind and value; rows with a null in any of them take no part. Two rows are
     copies when scope is equal, kind agrees in its letters and digits, and value has the same fields in any
     order, each compared by letters and digits in lower case; empty fields don't count. Ids are unique.
-    Rows that collide under one seed are grouped among themselves under the next.
+    Rows that collide under one seed are grouped among themselves under the next. Keyed rows are written down once, as grouping
+    and joining both read them.
     """
-    small_batches(rows.sparkSession)
+    bound_batches(rows.sparkSession)
     rows = rows.select("id", "scope", "kind", "value").dropna()
     found: DataFrame | None = None
     for k in range(rounds):
-        keyed = _keyed(rows, seed + k)
+        keyed = cut(_keyed(rows, seed + k))
         groups = keyed.groupBy(*_KEY).agg(F.min_by(F.struct("id", "kind", "value"), "id").alias("first"), F.count("*").alias("n")).where("n > 1")
         groups = groups.select(*_KEY, F.col("first.id").alias("first_id"), F.col("first.kind").alias("first_kind"), F.col("first.value").alias("first_value"))
-        pairs = keyed.join(groups, _KEY).where(F.col("id") != F.col("first_id")).withColumnRenamed("id", "copy_id")
+        pairs = split_join(keyed, groups, _KEY).where(F.col("id") != F.col("first_id")).withColumnRenamed("id", "copy_id")
         checked = cut(_verified(pairs))
         good = checked.where("same").select("first_id", "copy_id")
         found = good if found is None else found.unionByName(good)

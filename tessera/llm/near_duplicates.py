@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textscan import int_list, mix, words
-from tessera.session import cut, small_batches
+from tessera.session import bound_batches, cut
 
 BANDS, ROWS = 60, 5
 HOT, SUB_BANDS, SUB_ROWS = 256, 22, 3
@@ -141,7 +141,7 @@ def _grams_of(texts: DataFrame, size: int) -> DataFrame:
 
 def similar_representatives(texts: DataFrame, size: int, threshold: float, least_words: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (a, b, similarity) and membership (page_id, rep) of ``texts`` (page_id, text)."""
-    small_batches(texts.sparkSession, 500)
+    bound_batches(texts.sparkSession)
     signed = cut(texts.select("page_id", "text").where("text is not null and page_id is not null").mapInArrow(_sign(size, least_words), _SIGNED))
     same = ["n", "set0", "set1"]
     reps = signed.groupBy(*same).agg(F.min("page_id").alias("rep"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.dom import description_of, leaves, title_of
 from tessera.llm.textscan import WORD, int_list
-from tessera.session import cut, small_batches
+from tessera.session import bound_batches, cut
 
 #: Marks of template languages and mail merges around a name (fixed values).
 PLACEHOLDER = re.compile(
@@ -154,7 +154,7 @@ def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFram
     isn't in ``pages`` or has no address there is judged by its placeholders and filler only. Empty tables give no row.
     """
     spark = page_content.sparkSession
-    small_batches(spark, 500)
+    bound_batches(spark)
     html = page_content.select("page_id", "raw_html").where("page_id is not null and length(raw_html) > 0")
     scanned = cut(html.mapInArrow(_scan, _SCANNED))
     sites = addresses(pages)

@@ -45,6 +45,30 @@ def test_copies_of_random_values(make):
     assert sorted(tuple(r) for r in contacts_fold.copies(df).collect()) == brute_copies(rows)
 
 
+def test_kinds_with_separators_are_one_field(make):
+    rows = [(1, "a", "phone;fax", "1"), (2, "a", "fax;phone", "1"), (3, "a", "Phone|Fax", "1"), (4, "a", "e|mail", "x"), (5, "a", "email", "X;"), (6, "a", ";", "x"), (7, "a", "", "x")]
+    got = sorted(tuple(r) for r in contacts_fold.copies(make(rows, "id long, scope string, kind string, value string")).collect())
+    assert got == brute_copies(rows) == [(1, 3), (4, 5), (6, 7)]
+
+
+def test_texts_are_compared_in_order():
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("aAbÄ; |-") for _ in range(rng.randint(0, 6))) for _ in range(600)]
+    same = contacts_fold.same_in_order(texts[:300], texts[300:])
+    plain = ["".join(c for c in t.lower().replace("|", ";") if c.isalnum() or c == ";") for t in texts]
+    assert same.tolist() == [x == y for x, y in zip(plain[:300], plain[300:])] and same.any()
+
+
+def test_a_hot_group_is_compared_by_many_tasks(make, spark, skewed):
+    """A third of all rows are one contact: no task of the comparison gets more than a part of them."""
+    hot = spark.range(0, 60_000, 1, 12).selectExpr("id", "'c' as scope", "'email' as kind", "if(id % 3 = 0, if(id % 2 = 0, 'Same Value', 'same-value'), 'v' || id) as value")
+    keyed = contacts_fold._keyed(hot, 0)
+    groups = keyed.groupBy("v0").count().where("count > 1")
+    rows = [r.n for r in contacts_fold.split_join(keyed, groups, ["v0"]).mapInArrow(skewed, "n long").collect()]
+    assert sum(rows) == 20_000 and max(rows) < 5_000
+    assert contacts_fold.copies(hot).count() == 19_999
+
+
 def test_hash_collisions_are_told_apart(make, monkeypatch):
     """With keys that collide on purpose under the first seed, the comparison and the next seed give the exact result."""
     rows = [(i, "a", "email", v) for i, v in enumerate("xyzwxyvuxz")]
