@@ -102,7 +102,26 @@ WITH l AS (
 r AS (SELECT source, form FROM l WHERE length(form) >= 8 GROUP BY ALL HAVING count(DISTINCT page_id) >= 6),
 f AS (SELECT l.page_id, l.line_no FROM l JOIN r USING (source, form))
 """
+def _grams(table: str, key: str, text: str, n: int) -> str:
+    """The different runs of n words of a text."""
+    words = f"SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE {text} IS NOT NULL AND {key} IS NOT NULL"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM ({words}))"
+
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"""
+WITH big AS (SELECT c.page_id, c.raw_markdown, p.canonical_url FROM page_content c JOIN pages p ON p.id = c.page_id WHERE p.canonical_url IS NOT NULL AND len(regexp_extract_all(lower(c.raw_markdown), '[\\p{{L}}\\p{{N}}]+')) >= 100),
+g AS ({_grams("big", "page_id", "raw_markdown", 3)}),
+n AS (SELECT page_id, count(*) AS n FROM g GROUP BY page_id),
+common AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.page_id < b.page_id GROUP BY ALL)
+SELECT a AS page_id_a, b AS page_id_b FROM common JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b JOIN big p ON p.page_id = a JOIN big q ON q.page_id = b
+WHERE k * 10 >= 6 * (x.n + y.n - k) AND p.canonical_url <> q.canonical_url
+""",
+    "p8_found": f"""
+WITH d AS ({_grams("documents", "doc_id", "text", 12)}),
+e AS ({_grams("eval_items", "item_id", "prompt", 12)} UNION {_grams("eval_items", "item_id", "reference_answer", 12)})
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)
+""",
     "p2_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM f",
     "p2_text": _LINES
     + """

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -172,6 +173,30 @@ def test_leaks_match_brute_force(make):
     assert sorted(tuple(r) for r in blocks.collect()) == want
 
 
+def test_time_does_not_grow_with_items_of_one_ending():
+    rng = random.Random(22)
+    took = {}
+    for n in (200, 20_000):
+        items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(10)) + " of the") for i in range(n)]
+        machine = contamination.WuManber(items)
+        texts = [" ".join(f"v{rng.randrange(50)} of the" for _ in range(400))] * 20 + [items[3][1]]
+        began = time.perf_counter()
+        text, item = machine.search(texts)
+        took[n] = time.perf_counter() - began
+        assert text.tolist() == [20] and item.tolist() == [3]
+    assert took[20_000] < 4 * took[200] + 0.05
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(contamination.WuManber, "_hash", lambda self, numbers, first: numbers[first].astype("uint64") % 2)
+    rng = random.Random(23)
+    say = lambda n: " ".join(rng.choice("red blue green tea cup".split()) for _ in range(n))
+    items = [(i, say(20)) for i in range(8)] + [(8, "a b c " * 9)]
+    docs = [(i, say(5) + " " + items[i % 9][1][3:]) for i in range(30)]
+    text, item = contamination.WuManber(items).search([t for _, t in docs])
+    assert list(zip(text.tolist(), item.tolist())) == brute_leaks(docs, items)
+
+
 def test_leaks_of_empty_tables(make):
     docs, items = make([(1, "a b")], "doc_id long, text string"), make([], "item_id long, prompt string, reference_answer string")
     assert contamination.leaked(docs, items).count() == 0
