@@ -32,6 +32,10 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(content, site_lines.repeated_lines(content, pages, crawls))
 
 
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_blocks(*_site_tables(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content.main_body(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_contacts": p1_contacts,
     "p2_found": p2_found,
     "p2_text": p2_text,
+    "p2_blocks": p2_blocks,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
@@ -123,6 +128,16 @@ e AS ({_grams("eval_items", "item_id", "prompt", 12)} UNION {_grams("eval_items"
 SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (gram)
 """,
     "p2_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM f",
+    "p2_blocks": _LINES
+    + """,
+n AS (SELECT source, page_id, line_no, form, row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS i FROM l WHERE length(form) >= 8),
+s AS (SELECT source, page_id, list(form ORDER BY i) AS forms, list(line_no ORDER BY i) AS nos FROM n GROUP BY ALL),
+b AS (SELECT source, page_id, forms, nos, i, unnest(generate_series(i, len(forms))) AS j FROM (SELECT *, unnest(generate_series(1, len(forms))) AS i FROM s)),
+o AS (SELECT source, page_id, nos[i] AS line_no, j - i + 1 AS n_lines, array_to_string(forms[i:j], chr(10)) AS block,
+             CASE WHEN i > 1 THEN forms[i - 1] ELSE chr(10) || page_id END AS before, CASE WHEN j < len(forms) THEN forms[j + 1] ELSE chr(10) || page_id END AS after FROM b)
+SELECT source, min(page_id) AS page_id, arg_min(line_no, page_id * 1000000 + line_no)::INTEGER AS line_no, n_lines, count(DISTINCT page_id) AS n_pages
+FROM o GROUP BY source, block, n_lines HAVING count(DISTINCT page_id) >= 6 AND count(DISTINCT before) > 1 AND count(DISTINCT after) > 1
+""",
     "p2_text": _LINES
     + """
 SELECT c.page_id, CASE WHEN c.raw_markdown IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(t.removed, 0)::INTEGER AS removed

@@ -52,9 +52,8 @@ def lines_fixture(n=60):
     return content, crawl, {"c0": "Big.example", "c1": "big.EXAMPLE", "c2": "small.example"}
 
 
-@pytest.mark.parametrize("chunk_pages,array_lines", [(4_000, 200_000), (7, 40)])
-def test_repeated_lines_match_brute_force(make, monkeypatch, chunk_pages, array_lines):
-    monkeypatch.setattr(site_lines, "CHUNK_PAGES", chunk_pages)
+@pytest.mark.parametrize("array_lines", [200_000, 170, 40])
+def test_repeated_lines_match_brute_force(make, monkeypatch, array_lines):
     monkeypatch.setattr(site_lines, "ARRAY_LINES", array_lines)
     content, crawl, domains = lines_fixture()
     tables = make(content, CONTENT).selectExpr("*", "1 as line", "2 as source"), make([(p, c) for p, c in crawl.items()], "id long, crawl_id string"), make(list(domains.items()) + [("c9", None)], "id string, target_domain string")
@@ -84,8 +83,63 @@ def test_suffix_array_is_sorted_and_its_prefixes_are_right():
             assert common[k] == same
 
 
+def brute_blocks(pages, least):
+    """{lines: (pages, first place)} of the runs on enough pages that no line on either side always goes with."""
+    where = {}
+    for page, ids in pages:
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids) + 1):
+                where.setdefault(tuple(ids[i:j]), []).append((page, i, ids[i - 1] if i else ("start", page), ids[j] if j < len(ids) else ("end", page)))
+    return {k: (len({p for p, *_ in v}), min(v)[:2]) for k, v in where.items() if len({p for p, *_ in v}) >= least and len({x[2] for x in v}) > 1 and len({x[3] for x in v}) > 1}
+
+
+def test_blocks_match_brute_force():
+    rng = random.Random(24)
+    for _ in range(60):
+        furniture = [rng.randint(1, 6) for _ in range(5)]
+        pages = [(p, [*rng.choice([furniture, furniture[:3], []]), *(rng.randint(1, 9) for _ in range(rng.randint(1, 5))), *rng.choice([furniture[2:], furniture])]) for p in range(rng.randint(1, 9))]
+        index = np.repeat(np.arange(len(pages)), [len(x) for _, x in pages])
+        array = site_lines.Lines(np.array([i for _, x in pages for i in x]), index)
+        found = array.blocks(3)
+        text = array.ids.tolist()
+        got = {tuple(text[array.order[a] : array.order[a] + d]): n for d, a, _, n in found.tolist()}
+        want = brute_blocks(pages, 3)
+        assert got == {k: n for k, (n, _) in want.items()} and len(found) == len(got)
+        lines = {k for block in want for k in block}
+        assert array.covered(found).tolist() == [x in lines for x in text]
+        assert len(set(array.keys(found).tolist())) == len(found)
+
+
+def test_repeated_blocks(make, monkeypatch):
+    content, crawl, domains = lines_fixture()
+    tables = make(content, CONTENT), make([(p, c) for p, c in crawl.items()], "id long, crawl_id string"), make(list(domains.items()), "id string, target_domain string")
+    sites = {}
+    for page, _, md in content:
+        if md is not None and crawl.get(page) is not None:
+            kept = [(no, f) for no, line in enumerate(md.split("\n")) if len(f := form(line)) >= 8]
+            sites.setdefault(domains[crawl[page]].lower(), []).append((page, [f for _, f in kept], [no for no, _ in kept]))
+    want = set()
+    for site, pages in sites.items():
+        number = {p: nos for p, _, nos in pages}
+        for block, (n, (page, i)) in brute_blocks([(p, ids[:40]) for p, ids, _ in pages], 6).items():
+            want.add((site, page, number[page][i], len(block), n))
+    got = {tuple(r) for r in site_lines.repeated_blocks(*tables).collect()}
+    assert got == want and max(x[3] for x in got) > 1
+    monkeypatch.setattr(site_lines, "ARRAY_LINES", 170)
+    parts = {(r.source, r.page_id, r.line_no, r.n_lines): r.n_pages for r in site_lines.repeated_blocks(*tables).collect()}
+    assert parts and all(n >= 6 for n in parts.values())
+
+
+def test_a_hot_line_of_a_hot_source_is_matched_by_many_tasks(spark, skewed):
+    each = spark.range(0, 90_000, 1, 12).selectExpr("id", "1L as site", "if(id % 3 = 0, 7L, xxhash64(id)) as line")
+    repeated = each.groupBy("site", "line").count().where("count > 5").select("site", "line")
+    rows = [r.n for r in site_lines.split_join(each, repeated, ["site", "line"], "left_semi").mapInArrow(skewed, "n long").collect()]
+    assert sum(rows) == 30_000 and max(rows) < 7_500
+
+
 def test_repeated_lines_of_empty_tables(make):
     empty = make([], CONTENT), make([], "id long, crawl_id string"), make([], "id string, target_domain string")
+    assert site_lines.repeated_blocks(*empty).count() == 0
     assert site_lines.repeated_lines(*empty).count() == 0
 
 
