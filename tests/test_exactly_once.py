@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.operators import exactly_once
 from tessera.operators.exactly_once import MessageStore, repeated_deliveries
 
 SCHEMA = "delivery_id long, batch_no long, stream_name string, message_id string, delivered_at timestamp, url string, _part string, first string"
@@ -30,8 +31,8 @@ def brute(rows):
 
 
 def test_found_matches_brute_force(make, spark, tmp_path):
-    rows = rows_of(1)
-    for batches in (1, 2, 5):
+    rows = rows_of(1, 120)
+    for batches in (1, 2, 12):  # 12: a portion for each batch_no
         store = MessageStore(spark, f"file://{tmp_path}/b{batches}")
         got = sorted(r[0] for r in repeated_deliveries(frame(make, rows), store, batches).collect())
         assert got == brute(rows)
@@ -76,6 +77,62 @@ def test_an_unfinished_version_is_not_seen(make, spark, tmp_path, monkeypatch):
     assert store.messages(frame(make, []).schema).count() == 2
 
 
+def entries(store):
+    manifest = store.manifest()
+    folders = [f for runs in manifest["index"].values() for f in runs]
+    return store._read(folders, "key long").count(), max(map(len, manifest["index"].values()))
+
+
+def test_the_index_grows_with_the_messages_and_is_compacted(make, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exactly_once, "MOST_RUNS", 3)
+    store = MessageStore(spark, f"file://{tmp_path}/i", buckets=2)
+    for k in range(8):  # all of one day, which is rewritten each time
+        rows = [(10 * k + i, k, "s", f"m{10 * k + i}", "2026-01-01 00:00:00", "u", "", "") for i in range(10)]
+        assert store.merge(frame(make, [*rows, (1000 + k, k, "s", "m0", "2026-01-01 00:00:00", "u", "", "")])).count() == 1
+        n, runs = entries(store)
+        assert n == 10 * (k + 1) and runs <= 4
+    assert store.messages(frame(make, []).schema).count() == 80
+
+
+def test_a_batch_reads_the_buckets_of_its_keys_alone(make, spark, tmp_path):
+    store = MessageStore(spark, f"file://{tmp_path}/k", buckets=64)
+    store.merge(frame(make, [(i, 0, "s", f"m{i}", f"2026-01-{1 + i % 28:02d} 00:00:00", "u", "", "") for i in range(200)]))
+    read = []
+    plain = store._read
+    store._read = lambda folders, schema: read.append(folders) or plain(folders, schema)
+    touched, buckets = store.affected(frame(make, [(900, 1, "s", "m3", "2026-01-04 00:00:00", "u", "", "")]), store.manifest())
+    assert touched == ["20260104"] and len(buckets) == 1 and [len(f) for f in read] == [1]
+
+
+def test_of_two_writers_none_loses_a_batch(make, spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/w"
+    one, two = MessageStore(spark, path), MessageStore(spark, path)
+    one.merge(frame(make, [(1, 0, "s", "a", "2026-01-01 00:00:00", "u", "", "")]))
+    commit, waiting = MessageStore._commit, [True]
+
+    def overtaken(self, manifest):
+        if self is one and waiting.pop() if waiting else False:
+            two.merge(frame(make, [(3, 1, "s", "b", "2026-01-01 00:00:00", "two", "", "")]))
+        commit(self, manifest)
+
+    monkeypatch.setattr(MessageStore, "_commit", overtaken)
+    dropped = one.merge(frame(make, [(4, 1, "s", "b", "2026-01-02 00:00:00", "one", "", ""), (5, 1, "s", "c", "2026-01-02 00:00:00", "one", "", "")]))
+    assert [r.delivery_id for r in dropped.collect()] == [4]
+    assert sorted((r.message_id, r.url) for r in one.messages(frame(make, []).schema).collect()) == [("a", "u"), ("b", "two"), ("c", "one")]
+    assert one.versions() == [1, 2, 3]
+
+
+def test_old_versions_are_removed(make, spark, tmp_path):
+    store = MessageStore(spark, f"file://{tmp_path}/r")
+    for k in range(4):
+        store.merge(frame(make, [(k, k, "s", f"m{k}", "2026-01-01 00:00:00", "u", "", "")]))
+    assert store.vacuum(keep=1) == []  # all are young
+    gone = store.vacuum(keep=1, grace_seconds=0)
+    assert store.versions() == [4] and len([g for g in gone if g.startswith("v-")]) == 3
+    assert store.messages(frame(make, []).schema).count() == 4
+    assert [r.delivery_id for r in store.merge(frame(make, [(9, 5, "s", "m2", "2026-01-03 00:00:00", "u", "", "")])).collect()] == [9]
+
+
 def test_empty_tables(make, spark, tmp_path):
     store = MessageStore(spark, f"file://{tmp_path}/z")
     empty = frame(make, [])
