@@ -48,6 +48,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "page_content"))
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "page_content"))[0]
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "page_content"))[1]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.pages_without_content(table(spark, sf_dir, "page_content"), table(spark, sf_dir, "pages"))
 
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p5_links": p5_links,
+    "p5_members": p5_members,
     "p6_found": p6_found,
     "p6_pages": p6_pages,
     "p7_ids": p7_ids,
@@ -113,7 +123,18 @@ def _grams(table: str, key: str, text: str, n: int) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM ({words}))"
 
 
+_CLASSES = f"""
+WITH big AS (SELECT page_id, raw_markdown FROM page_content WHERE len(regexp_extract_all(lower(raw_markdown), '[\\p{{L}}\\p{{N}}]+')) >= 100),
+g AS ({_grams("big", "page_id", "raw_markdown", 3)}),
+s AS (SELECT page_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS whole FROM g GROUP BY page_id),
+m AS (SELECT page_id, n, min(page_id) OVER (PARTITION BY whole) AS rep FROM s),
+r AS (SELECT g.page_id, gram FROM g JOIN m ON m.page_id = g.page_id AND m.rep = m.page_id),
+k AS (SELECT a.page_id AS rep_a, b.page_id AS rep_b, count(*) AS k FROM r a JOIN r b ON a.gram = b.gram AND a.page_id < b.page_id GROUP BY ALL),
+links AS (SELECT rep_a, rep_b, k / (x.n + y.n - k) AS similarity FROM k JOIN m x ON x.page_id = rep_a JOIN m y ON y.page_id = rep_b WHERE k * 10 >= 6 * (x.n + y.n - k))
+"""
 ORACLE: dict[str, str] = {
+    "p5_links": _CLASSES + "SELECT * FROM links",
+    "p5_members": _CLASSES + "SELECT page_id, rep, (SELECT count(*) FROM links WHERE rep IN (rep_a, rep_b)) AS links FROM m",
     "p5_found": f"""
 WITH big AS (SELECT c.page_id, c.raw_markdown, p.canonical_url FROM page_content c JOIN pages p ON p.id = c.page_id WHERE p.canonical_url IS NOT NULL AND len(regexp_extract_all(lower(c.raw_markdown), '[\\p{{L}}\\p{{N}}]+')) >= 100),
 g AS ({_grams("big", "page_id", "raw_markdown", 3)}),

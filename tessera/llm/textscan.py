@@ -61,6 +61,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted different values."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def int_list(offsets: np.ndarray, values: np.ndarray):
     """An Arrow list array of ``values`` cut at ``offsets``."""
     import pyarrow as pa

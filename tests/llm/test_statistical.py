@@ -175,6 +175,51 @@ def near_fixture():
     return content, url
 
 
+@pytest.mark.parametrize("extra", [[8, 20, 40], [30, 90, 120]])
+def test_recall_under_hot_keys(make, monkeypatch, extra):
+    """Pages of one template, alike or not so much, so that nearly every key is hot."""
+    monkeypatch.setattr(near_duplicates, "HOT", 8)
+    rng = random.Random(26)
+    names = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(names) for _ in range(130)]
+    content = [(i, None, " ".join([*base, *(rng.choice(names) for _ in range(rng.choice(extra)))])) for i in range(90)]
+    url = {i: f"u{i}" for i in range(90)}
+    want = set(brute_pairs(content, url))
+    pages = make([(p, "c", u, u, None) for p, u in url.items()], PAGES)
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pages(make(content, CONTENT), pages).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(want) > 200
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_pairs_of_a_hot_class_are_made_by_many_tasks(spark, skewed):
+    rows = spark.range(0, 3000, 1, 12).selectExpr("id", "if(id % 3 = 0, 0, id) as rep", "id * 2 as more")
+    sizes = rows.groupBy("rep").count().withColumnRenamed("count", "m").where("m > 1")
+    pairs = near_duplicates.pair_up(rows, sizes, ["rep"], "id", ["id", "more"], 100)
+    assert pairs.count() == pairs.select("id", "id_2").distinct().count() == 1000 * 999 // 2
+    assert pairs.where("more_2 != 2 * id_2 or id >= id_2").isEmpty()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a fixture's blocks are small enough for one task
+    try:
+        tasks = [r.n for r in pairs.mapInArrow(skewed, "n long").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 499_500 and max(tasks) < 499_500 / 6
+
+
+def test_classes_have_no_pairs_of_copies(make):
+    content, url = near_fixture()
+    links, members = near_duplicates.near_duplicate_classes(make(content, CONTENT))
+    rep = {r.page_id: r.rep for r in members.collect()}
+    sets = {p: frozenset(s) for p, _, md in content if (s := shingles(md))}
+    first = {}
+    for p in sorted(sets):
+        first.setdefault(sets[p], p)
+    assert rep == {p: first[s] for p, s in sets.items()}
+    want = {(a, b) for a, b in brute_pairs(content, {p: p for p in sets}) if rep[a] == a != rep[b] == b}
+    got = {(r.rep_a, r.rep_b) for r in links.collect()}
+    assert got == want and got
+    assert {r.page_id: r.links for r in members.collect()} == {p: sum(rep[p] in x for x in want) for p in rep}
+
+
 @pytest.mark.parametrize("hot", [256, 1])
 def test_near_duplicates_match_brute_force(make, monkeypatch, hot):
     monkeypatch.setattr(near_duplicates, "HOT", hot)
