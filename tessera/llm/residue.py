@@ -3,10 +3,13 @@
 Two detectors look at one page: patterns of unfilled placeholders, in its title, meta description and visible text
 without samples of code; and filler, as a stretch of text mostly of the words of the usual dummy Latin, a stock sentence alone in its element or several within texts.
 
+Filler in any words is found by evidence of all hosts: a line that many hosts serve on a page or two each, mostly beside text of the page's own.
+The stock sentences are for what too few hosts share.
+
 Error messages and notices are found by comparison, whatever the status code: a page is a case when it has little text of its
-own and the terms of its address appear neither in its title nor in its body. Text is a page's own when it is
-no link and its line isn't repeated over pages of several names of its host. A page whose address gives no verdict is judged by
-evidence of all hosts: its own lines are served by several of them.
+own and the terms of its address appear neither in its title nor in its lines. Text is a page's own when it is
+no link and its line neither is repeated over pages of several names of its host nor is served by several hosts, so a long message that many serve
+is a case as well. A page whose address gives no verdict is a case if it is short and each of its lines is served by several hosts.
 
 The HTML is scanned once, narrow; what is shuffled is one hash for each line of a page, and the words of the lines for the
 join with the few pages that have little text of their own. Counts cover all pages and lines, however long.
@@ -26,13 +29,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.dom import description_of, leaves, title_of
 from tessera.llm.textscan import WORD, int_list
+from tessera.operators.joins import split_join
 from tessera.session import bound_batches, cut
 
 #: Marks of template languages and mail merges around a name (fixed values).
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}%\n]{1,80}%\}|<%[^<>%\n]{1,80}%>|[$#&]\{[^{}\n]{1,60}\}|\{\$?[A-Za-z0-9_.]{1,40}\}|\[\[[^\[\]\n]{1,60}\]\]"
-    r"|<<[A-Za-z][^<>\n]{0,50}>>|%%?[A-Z][A-Z0-9_]{2,40}%%?|\*\|[A-Z][A-Z0-9_:]{1,40}\|\*|(?<![\w.+-])@[A-Z]\w*\.[A-Z]\w*|\[object Object\]|__[A-Z][A-Z0-9_]{2,40}__"
-    r"|\[(?i:(?:your|insert|enter|add|type|company|client|customer|first|last|name|title|headline|text|date|address|phone|my)\b[^\[\]\n]{0,50})\]"
+    r"\{\{[^{}\n]*\}\}|\{%[^{}%\n]+%\}|<%[^<>%\n]+%>|[$#&]\{[^{}\n]+\}|\{\$?[A-Za-z0-9_.]+\}|\[\[[^\[\]\n]+\]\]"
+    r"|<<[A-Za-z][^<>\n]*>>|%%?[A-Z][A-Z0-9_]{2,}%%?|\*\|[A-Z][A-Z0-9_:]+\|\*|(?<![\w.+-])@[A-Z]\w*\.[A-Z]\w*|\[object Object\]|__[A-Z][A-Z0-9_]{2,}__|\b(?:TODO|FIXME|TKTK): "
+    r"|\[(?i:(?:your|insert|enter|add|type|company|client|customer|first|last|name|title|headline|text|date|address|phone|my)\b[^\[\]\n]*)\]"
 )
 #: Words of the usual dummy Latin (fixed values).
 LATIN = frozenset(
@@ -56,8 +60,10 @@ STOCK_ALONE = re.compile(
 LATIN_STRETCH, LATIN_WORDS, LATIN_LEAST, LATIN_PART, STOCK_LINES = 60, 8, 4, 0.5, 2
 #: A page with fewer words of its own has little text.
 OWN_WORDS = 60
-#: A line is its host's when pages of this many names there have it, copies of one page counting once; an error is known when this many hosts serve it.
+#: A line is its host's when pages of this many names there have it, copies of one page counting once; it is shared when this many hosts serve it.
 HOST_PAGES, HOSTS = 3, 3
+#: Filler by evidence: a text of this many words that this many hosts serve, each under at most so many names on average.
+FILLER_WORDS, FILLER_HOSTS, FILLER_NAMES = 5, 8, 3
 #: Part of the address's terms that a page of its own contains; terms are this long at least.
 TERMS_PART, TERM_CHARS = 0.5, 4
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -159,23 +165,34 @@ def pages_without_content(page_content: DataFrame, pages: DataFrame) -> DataFram
     scanned = cut(html.mapInArrow(_scan, _SCANNED))
     sites = addresses(pages)
     placed = scanned.select("page_id", "residue", "lines", "sizes").join(sites.select("page_id", "host", "name"), "page_id")
-    each = placed.select("host", "name", F.explode(F.array_distinct("lines")).alias("line"))
-    furniture = each.select(F.xxhash64("host", "line").alias("key"), "name").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOST_PAGES).select("key")
-    said = placed.where("not residue").select("page_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
-    mine = said.select("page_id", F.xxhash64("host", "x.lines").alias("key"), F.col("x.lines").alias("line"), F.col("x.sizes").alias("words")).join(furniture, "key", "left_anti")
-    own = mine.groupBy("page_id").agg(F.sum("words").alias("own_words"), F.collect_set("line").alias("own_lines"))
-    little = placed.where("not residue").select("page_id").join(own, "page_id", "left").where(F.coalesce("own_words", F.lit(0)) < OWN_WORDS).select("page_id", F.coalesce("own_lines", F.expr("cast(array() as array<bigint>)")).alias("own_lines"))
+    said = placed.select("page_id", "host", "name", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("page_id", "host", "name", F.xxhash64("host", "x.lines").alias("key"), F.col("x.lines").alias("line"), F.col("x.sizes").alias("words"))
+    named = said.groupBy("host", "line", "name").agg(F.min("words").alias("words"))
+    of_host = named.groupBy("host", "line").agg(F.count("*").alias("names"), F.min("words").alias("words"))
+    spread = of_host.groupBy("line").agg(F.count("*").alias("hosts"), F.sum("names").alias("names"), F.min("words").alias("words")).where(F.col("hosts") >= HOSTS)
+    shared = cut(spread)  # lines that several hosts serve, each once
+    # neither a host's furniture nor what several hosts serve is a page's own
+    common = split_join(of_host, shared.select("line", "hosts"), ["line"], "left").where((F.col("names") >= HOST_PAGES) | F.col("hosts").isNotNull())
+    common = common.select(F.xxhash64("host", "line").alias("key"), (F.col("names") >= HOST_PAGES).alias("furniture"))
+    mine = split_join(said, common, ["key"], "left").where("not coalesce(furniture, false)")
+    own = cut(mine.groupBy("page_id").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("furniture").isNull(), F.col("words"))).alias("own_words"), F.collect_set("line").alias("own_lines")))
+    no_lines = F.expr("cast(array() as array<bigint>)")
+    little = placed.where("not residue").select("page_id").join(own, "page_id", "left").where(F.coalesce("own_words", F.lit(0)) < OWN_WORDS)
+    little = little.select("page_id", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("own_lines", no_lines).alias("own_lines"))
     near = cut(little.join(sites.select("page_id", "named"), "page_id").join(scanned.select("page_id", "lines", "title", "terms"), "page_id"))
     spoken = F.filter(F.arrays_zip("lines", "terms"), lambda x: F.array_contains("own_lines", x["lines"]))
     text = F.concat("title", F.array_join(F.transform(spoken, lambda x: x["terms"]), ""))
     hit = F.filter("named", lambda t: F.contains(F.col("text"), F.concat(F.lit(" "), t)))
     strange = near.withColumn("text", text).where(F.size(hit) < TERMS_PART * F.size("named")).select("page_id")
-    mute = near.where(F.size("named") == 0)
-    lines = mute.select("page_id", F.explode("own_lines").alias("line"))
-    hosts = each.select("host", "line").join(lines.select("line").distinct(), "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("hosts"))
-    rare = lines.join(hosts.where(F.col("hosts") < HOSTS), "line", "left_semi").select("page_id")
+    mute = near.where((F.size("named") == 0) & (F.col("words") < OWN_WORDS))
+    rare = mute.select("page_id", F.explode("own_lines").alias("line")).join(shared, "line", "left_anti").select("page_id")
     errors = strange.unionByName(mute.select("page_id").join(rare, "page_id", "left_anti"))
-    return scanned.where("residue").select("page_id").unionByName(errors)
+    # filler stands on few pages a host but on many hosts, mostly beside text of the page's own; messages stand alone
+    likely = shared.where((F.col("hosts") >= FILLER_HOSTS) & (F.col("names") <= FILLER_NAMES * F.col("hosts")) & (F.col("words") >= FILLER_WORDS)).select("line")
+    beside = split_join(said.select("page_id", "line"), likely, ["line"], "left_semi").distinct().join(own.select("page_id", (F.coalesce("own_words", F.lit(0)) >= OWN_WORDS).alias("full")), "page_id")
+    filler = beside.groupBy("line").agg(F.avg(F.col("full").cast("double")).alias("part")).where("part > 0.5").select("line")
+    filled = split_join(beside.where("full"), filler, ["line"], "left_semi").select("page_id")
+    rest = errors.unionByName(filled).distinct().join(scanned.where("residue").select("page_id"), "page_id", "left_anti")
+    return scanned.where("residue").select("page_id").unionByName(rest)
 
 
 def pages_with_content(page_content: DataFrame, pages: DataFrame) -> DataFrame:

@@ -412,6 +412,32 @@ def test_messages_inside_a_heavy_template(make):
     assert [r.page_id for r in residue.pages_without_content(make(rows, CONTENT), pages).collect()] == [20]
 
 
+def test_filler_and_long_messages_by_evidence_of_hosts(make):
+    """Filler in words that no list has, and an error page of 400 words, both served by many hosts."""
+    rng = random.Random(27)
+    filler = "Kumquat papaya guava lychee mango durian"
+    words = [f"{a}{b}" for a in WORDS for b in "aeiou"]
+    long = "".join(f"<p>{' '.join(rng.choice(words) for _ in range(80))}</p>" for _ in range(5))
+    rows, urls = [], {}
+    for k in range(12):
+        for j in range(4):
+            i, slug = 100 * k + j, f"{rng.choice(WORDS)}-{rng.choice(WORDS)}-{rng.choice(WORDS)}-cut-x{k}{j}"
+            rows.append((i, real_page(rng, slug, extra=f"<p>{filler}</p>" if j == 1 else f"<p>They say {filler.lower()} on {slug}</p>" if j == 2 else ""), None))
+            urls[i] = f"https://site{k}.example/a/{slug}"
+        rows.append((100 * k + 50, f"<html><head><title>Sorry</title></head><body><h1>Sorry</h1>{long}</body></html>", None))
+        urls[100 * k + 50] = f"https://site{k}.example/a/guava-{rng.choice('abc')}lychee-kumquat-cut-y{k}"
+    pages = make([(i, "c", None, u, None) for i, u in urls.items()], PAGES)
+    got = {r.page_id for r in residue.pages_without_content(make(rows, CONTENT), pages).collect()}
+    assert got == {100 * k + j for k in range(12) for j in (1, 50)}
+
+
+def test_placeholders_of_any_length():
+    for text in ("TODO: replace this copy", "{{ " + "x" * 500 + " }}", "[your " + "very " * 100 + "name]"):
+        assert residue.has_residue("", "", [f"Before {text} after"]), text
+    for text in ("Todo: lo que falta", "TODO el mundo", "a {b c} d", "[note]", "50 % of 3 %"):
+        assert not residue.has_residue("", "", [text]), text
+
+
 def test_filler_anywhere_in_a_text():
     rng = random.Random(18)
     real, latin = say(rng, 200) + ".", "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do eiusmod tempor."
