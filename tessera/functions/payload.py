@@ -54,7 +54,7 @@ def hydration_state(html: Column) -> Column:
 
 
 def extraction_methods(xhr: Column, hydration: Column, markdown: Column) -> Column:
-    filled = F.trim(F.coalesce(markdown, F.lit(""))) != ""
+    filled = has_text(markdown)
     methods = F.array_compact(F.array(F.when(F.size(xhr) > 0, "xhr"), F.when(F.coalesce(object_size(hydration), F.lit(0)) > 0, "hydration"), F.when(filled, "markitdown")))
     return F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("none")))
 
@@ -175,9 +175,18 @@ def page_extraction(url: Column, captured: Column, html: Column, markdown: Colum
     return F.struct(url.alias("url"), xhr.alias("xhr_payloads"), state.alias("hydration_state"), text.alias("raw_markdown"), extraction_methods(xhr, state, text).alias("extraction_methods"))
 
 
+def is_published(xhr: Column, hydration: Column, markdown: Column, metadata: Column) -> Column:
+    """Whether a result has anything to publish: captured responses, a state of scripts, text, or metadata (null for none)."""
+    return (F.coalesce(F.size(xhr), F.lit(0)) > 0) | (F.coalesce(object_size(hydration), F.lit(0)) > 0) | has_text(markdown) | metadata.isNotNull()
+
+
+def has_text(markdown: Column) -> Column:
+    return F.coalesce(markdown.rlike(r"\S"), F.lit(False))
+
+
 def published_markdown(url: Column, markdown: Column) -> Column:
-    """The Markdown of a published result: a heading of the address where the text is blank."""
-    return F.coalesce(F.when(F.trim(markdown) != "", markdown), F.concat(F.lit("# "), url, F.lit("\n\n")))
+    """The Markdown of a published result: where the text is blank, a heading of the address and a sentence (fixed value)."""
+    return F.when(has_text(markdown), markdown).otherwise(F.concat(F.lit("# "), url, F.lit("\n\n*Client-rendered page or empty DOM body.*")))
 
 
 def json_or(text: Column, default: Column | None = None) -> Column:

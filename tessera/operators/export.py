@@ -27,9 +27,9 @@ def export_file_id(job_id: Column) -> Column:
 
 
 def write_blobs(rows: DataFrame, path: str, fingerprint: str, kind: str) -> None:
-    """Contents partitioned by the first byte of their fingerprint; what was there of those partitions is replaced."""
+    """Contents partitioned by the first byte of their fingerprint, a large partition in several files; what was there of those partitions is replaced."""
     named = rows.withColumn("file_id", blob_id(kind, F.col(fingerprint))).withColumn("shard", F.substring(fingerprint, 1, 2))
-    named.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    named.hint("rebalance", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
 
 
 def read_blobs(spark: SparkSession, path: str, file_ids: DataFrame) -> DataFrame:
@@ -58,3 +58,29 @@ def read_dump(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def decoded(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Fields that may hold JSON in a string, as VARIANT; text that doesn't parse becomes a string value."""
     return rows.withColumns({f: F.coalesce(F.try_parse_json(F.col(f)), F.to_variant_object(F.struct(F.col(f).alias("text"))).cast("variant")) for f in fields})
+
+
+def range_scan(stream: DataFrame, after: str | None = None, count: int | None = None, key: str = "message_id") -> DataFrame:
+    """A stream's messages in order of their ids (time-sequence), after a cursor and at most ``count``, with the id as _message_id."""
+    part = lambda n: F.split_part(F.col(key), F.lit("-"), F.lit(n)).try_cast("long")
+    rows = stream.where(F.col(key).isNotNull()).withColumns({"_time": part(1), "_seq": F.coalesce(part(2), F.lit(0))})
+    if after is not None:
+        time, _, seq = after.partition("-")
+        rows = rows.where((F.col("_time") > int(time)) | ((F.col("_time") == int(time)) & (F.col("_seq") > int(seq or 0))))
+    rows = rows.orderBy(F.col("_time").asc_nulls_last(), "_seq", key)
+    return (rows if count is None else rows.limit(count)).drop("_time", "_seq").withColumnRenamed(key, "_message_id")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON document a line, nulls included; appended to what is there."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def dump(stream: DataFrame, path: str, fields: list[str], clear: str | None = None, key: str = "message_id") -> DataFrame | None:
+    """Write a stream's messages as JSON lines, with ``fields`` decoded; with ``clear``, what the dump doesn't have is written there and given back."""
+    decoded(stream.withColumnRenamed(key, "_message_id"), fields).write.mode("overwrite").json(path)
+    if clear is None:
+        return None
+    written = stream.sparkSession.read.schema("_message_id string").json(path)
+    stream.join(written.select(F.col("_message_id").alias(key)), key, "left_anti").write.mode("overwrite").parquet(clear)
+    return stream.sparkSession.read.parquet(clear)

@@ -6,6 +6,8 @@ each task. Orders always end in a unique column.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,6 +208,92 @@ def page_content(pages: DataFrame, content: DataFrame, form: Column) -> DataFram
     return joined.select("page_id", "form", F.when(there, "AVAILABLE").otherwise("CONTENT_UNAVAILABLE").alias("status"), F.when(there, body).alias("body"))
 
 
+def active_crawl(crawls: DataFrame) -> DataFrame:
+    """(domain, id, status) of the newest crawl in flight of each domain, in lower case."""
+    flying = crawls.where(F.col("status").isin("queued", "running", "paused")).withColumn("domain", F.lower("target_domain"))
+    newest = flying.groupBy("domain").agg(F.max(F.struct(F.col("started_at").alias("at"), "id", "status")).alias("x"))
+    return newest.select("domain", "x.id", "x.status")
+
+
+def crawl_total(crawls: DataFrame, domain: str | None = None, status: str | None = None) -> DataFrame:
+    """The number of crawls that the filters of ``crawl_list`` leave."""
+    rows = crawls if domain is None else crawls.where(contains(F.col("target_domain"), domain.strip().lower()))
+    return where_equal(rows, status=status).agg(F.count("*").alias("total"))
+
+
+def inventory_statistics(inventory: DataFrame) -> DataFrame:
+    """(crawl_id, discovered, processed, failed, excluded, pending) by the processing_status of a crawl's addresses."""
+    is_ = lambda *names: F.count_if(F.col("processing_status").isin(*names))
+    return inventory.groupBy("crawl_id").agg(F.count("*").alias("discovered"), is_("processed").alias("processed"), is_("failed").alias("failed"), is_("excluded").alias("excluded"), is_("queued", "processing").alias("pending"))
+
+
+def content_types(inventory: DataFrame) -> DataFrame:
+    """(crawl_id, content_type, n) of addresses that have one."""
+    return inventory.where(F.coalesce("content_type", F.lit("")) != "").groupBy("crawl_id", "content_type").agg(F.count("*").alias("n"))
+
+
+def grouped_contacts(contacts: DataFrame, pages: DataFrame, page: int = 1, per_page: int = 50, kind: str | None = None, term: str | None = None, source_page: int | None = None) -> DataFrame:
+    """(value, source_pages) of one page of contacts in order of (value, id): grouped after they were cut to the page, so a value may go on in the next."""
+    rows = contacts_of(contacts, pages, kind, term)
+    rows = rows if source_page is None else rows.where(F.col("page_id") == source_page)
+    one = page_of(rows.select("id", "value", "page_id"), [F.col("value"), F.col("id")], page, per_page)
+    return one.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "page_id"))), lambda x: x["page_id"]).alias("source_pages"))
+
+
+def contacts_with_address(contacts: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, kind, value, url) of contacts whose page is known, with its canonical address, or an empty one where it has none."""
+    known = contacts.join(pages.select(F.col("id").alias("page_id")), "page_id", "left_semi")
+    address = pages.where("canonical_url is not null").select(F.col("id").alias("page_id"), F.col("canonical_url").alias("url"))
+    return known.join(address, "page_id", "left").select("id", "kind", "value", F.coalesce("url", F.lit("")).alias("url"))
+
+
+def graph_nodes(pages: DataFrame, findings: DataFrame, most_pages: int | None = None) -> DataFrame:
+    """(crawl_id, id, url, title, status_code, findings_count) of the pages of each crawl, its first ones by id if limited."""
+    nodes = pages.select("crawl_id", "id", F.col("canonical_url").alias("url"), F.col("metadata.seo.title").alias("title"), "status_code")
+    if most_pages is not None:
+        nodes = nodes.withColumn("n", F.row_number().over(Window.partitionBy("crawl_id").orderBy("id"))).where(F.col("n") <= most_pages).drop("n")
+    counts = findings.groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("findings_count"))
+    return nodes.join(counts, "id", "left").withColumn("findings_count", F.coalesce("findings_count", F.lit(0)))
+
+
+def deliverable(crawls: DataFrame, pages: DataFrame, findings: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(crawl_id, part, key, item): a crawl's JSON deliverable, one document for each item, in order of (part, key).
+
+    Part 0 is the crawl with its metrics, 1 its findings by severity and id, 2 its pages by id, 3 its contacts by id. A deliverable is as long as its crawl, so
+    it is rows and never one value; ``export.write_lines`` writes them.
+    """
+    as_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    of_page = pages.select(F.col("id").alias("page_id"), "crawl_id")
+    found = contacts.join(of_page, "page_id")
+    n_findings = findings.groupBy(F.col("crawl_id").alias("id")).agg(F.count("*").alias("total_findings"))
+    n_contacts = contacts.groupBy("page_id").agg(F.count("*").alias("n")).join(of_page, "page_id").groupBy(F.col("crawl_id").alias("id")).agg(F.sum("n").alias("total_contacts"))
+    head = crawls.join(n_findings, "id", "left").join(n_contacts, "id", "left")
+    metrics = F.struct("pages_processed", "pages_failed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_findings", "total_contacts")]).alias("metrics")
+    times = [iso_time(F.col(c)).alias(c) for c in ("started_at", "finished_at")]
+    parts = [
+        head.select(F.col("id").alias("crawl_id"), F.lit(0).alias("part"), F.lit("").alias("key"), as_json(F.col("id").alias("crawl_id"), "target_url", "target_domain", "status", *times, metrics).alias("item")),
+        findings.select("crawl_id", F.lit(1).alias("part"), F.concat_ws(" ", "severity", "id").alias("key"), as_json("id", "rule_id", "url", "category", "severity", "canvas_zone", "explanation", "status").alias("item")),
+        pages.select("crawl_id", F.lit(2).alias("part"), F.lpad(F.col("id").cast("string"), 20, "0").alias("key"), as_json("id", "url", "canonical_url", "status_code", "markdown_file_id", "markdown_token_count").alias("item")),
+        found.select("crawl_id", F.lit(3).alias("part"), F.lpad(F.col("id").cast("string"), 20, "0").alias("key"), as_json("page_id", "kind", "value").alias("item")),
+    ]
+    return reduce(DataFrame.unionByName, parts).join(crawls.select(F.col("id").alias("crawl_id")), "crawl_id", "left_semi")
+
+
+def iso_time(time: Column) -> Column:
+    """A timestamp in ISO 8601, in UTC, with as many digits of a second as it has (none or six)."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(time, "SSSSSS")
+    return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+
+
+def recent_dead_letters(dead: DataFrame, newest: int = 50) -> DataFrame:
+    """(crawl_id, id, url, dlq_reason, failed_at_utc) of the newest dead letters of each crawl, and ``total``, how many it has."""
+    w = Window.partitionBy("crawl_id").orderBy(F.col("failed_at_utc").desc_nulls_last(), F.col("id").desc())
+    totals = dead.groupBy("crawl_id").agg(F.count("*").alias("total"))
+    last = dead.withColumn("n", F.row_number().over(w)).where(F.col("n") <= newest).drop("n")
+    return last.join(totals, "crawl_id").withColumn("failed_at_utc", iso_time(F.col("failed_at_utc"))).select("crawl_id", "id", "url", "dlq_reason", "failed_at_utc", "total")
+
+
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
     """(key, repeats) of values that occur more than once: how often after the first."""
     return df.groupBy(key).agg((F.count("*") - 1).alias("repeats")).where("repeats > 0")

@@ -59,7 +59,10 @@ def _one(name: str, value: Column) -> Column:
 
 
 def rules(schema: T.StructType, metadata: str = "metadata", url: str = "url", status: str = "status_code") -> list[Rule]:
-    """The sixteen rules, in the order in which a page's findings are given; texts and thresholds are fixed values."""
+    """The sixteen rules, in the order in which a page's findings are given; texts and thresholds are fixed values.
+
+    Missing headers may be given by their labels (HSTS) or by their names (strict-transport-security).
+    """
     get = lambda path, kind: field_or_null(schema, f"{metadata}.{path}", kind)
     lit, null = F.lit, F.lit(None).cast("string")
     h1 = F.coalesce(get("seo.headings.h1_count", "int"), lit(0))
@@ -72,11 +75,11 @@ def rules(schema: T.StructType, metadata: str = "metadata", url: str = "url", st
     load = get("runtime.dom_complete_ms", "double").cast("double")
     code, address = F.col(status), F.col(url)
     absent = lambda path: F.coalesce(get(path, "string"), lit("")) == ""
-    lacks = lambda label: F.array_contains(headers, label)
+    lacks = lambda label, name: F.array_contains(headers, label) | F.exists(headers, lambda h: F.lower(h) == name)
     whole = lambda ms: F.format_string("%.0f", ms)
 
     def header(rule_id: str, severity: str, label: str, name: str, text: str, expected: str, proposed: str, confidence: float) -> Rule:
-        return Rule(rule_id, "security", severity, "server", lacks(label), lit(text), "response.headers", _one(name, null), _one(name, lit(expected)), lit(proposed), confidence)
+        return Rule(rule_id, "security", severity, "server", lacks(label, name), lit(text), "response.headers", _one(name, null), _one(name, lit(expected)), lit(proposed), confidence)
 
     return [
         Rule("seo.missing_h1", "seo", "critical", "head", h1 == 0, lit("No <h1> element was found on this page. Search engines rely on the H1 as the primary page heading."), "body", _one("h1_count", lit(0)), _one("h1_count", lit(1)), lit("<h1>Insert descriptive page heading here</h1>"), 0.90),

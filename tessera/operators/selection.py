@@ -30,7 +30,7 @@ def content_status(page: Column, markdown_id: Column, html_id: Column, form: str
     return F.when(page.isNotNull() & (F.coalesce(has, F.lit("")) != ""), "available").otherwise("unavailable")
 
 
-def select_inventory(inventory: DataFrame, pages: DataFrame, target_origin: str, scope_path: str, form: str, include: list[Rule], exclude: list[Rule], exclude_types: tuple[str, ...] = ()) -> DataFrame:
+def select_inventory(inventory: DataFrame, pages: DataFrame, target_origin: Column | str, scope_path: str, form: str, include: list[Rule], exclude: list[Rule], exclude_types: tuple[str, ...] = ()) -> DataFrame:
     """The inventory's rows of the origin with decision, reason, rule_id and content_status.
 
     The prefix filter reaches the scan; the scope is tested again exactly. Rows that are excluded or failed and have no page keep their
@@ -81,7 +81,34 @@ def archive_entries(selected: DataFrame, form: str, by: list[str] | None = None)
     return rows.withColumn("n", n).withColumn("name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(stem, F.lit("-"), F.col("n").cast("string"), suffix))).drop("n")
 
 
-def preview_events(selected: DataFrame) -> DataFrame:
-    """One event for each evaluated URL, as JSON."""
-    payload = F.to_json(F.struct(F.col("normalized_url").alias("url"), "decision", "reason", "content_status"), {"ignoreNullFields": "false"})
-    return selected.select("id", F.lit("preview.url_evaluated").alias("event_type"), payload.alias("payload"))
+def preview_log(selected: DataFrame, job: Column, error: Column | None = None, cancelled: Column | None = None) -> DataFrame:
+    """(preview_id, seq, event_type, payload) of preview jobs: started, an event for each evaluated URL, and completed, cancelled or failed.
+
+    ``job`` is the id of a row's job. ``error`` is a job's message if it failed, ``cancelled`` whether it was cancelled; such a job has no event of its end besides.
+    Events are in order of seq: 0, the rows' own ids, and the last of all.
+    """
+    as_json = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    rows = selected.withColumns({"preview_id": job, "_error": F.lit(None).cast("string") if error is None else error, "_cancelled": F.lit(False) if cancelled is None else cancelled})
+    inside = F.when(F.col("decision") == "outside_scope", "outside_scope").otherwise("in_scope")
+    each = rows.select(
+        "preview_id", F.col("id").cast("long").alias("seq"), F.lit("url.evaluated").alias("event_type"),
+        as_json(F.col("normalized_url").alias("url"), inside.alias("scope_decision"), "decision", F.col("rule_id").alias("matched_pattern"), "content_status", "reason").alias("payload"),
+    )
+    counts = selection_counts(rows, ["preview_id"])
+    jobs = rows.groupBy("preview_id").agg(F.max("_error").alias("error"), F.max("_cancelled").alias("cancelled")).join(counts, "preview_id")
+    began = jobs.select("preview_id", F.lit(-1).cast("long").alias("seq"), F.lit("preview.started").alias("event_type"), as_json("preview_id", "total_candidates").alias("payload"))
+    end = F.when(F.col("error").isNotNull(), "failed").when(F.col("cancelled"), "cancelled").otherwise("completed")
+    numbers = ("total_candidates", "included", "excluded", "outside_scope", "unavailable_content")
+    told = (
+        F.when(end == "failed", as_json("preview_id", F.lit("PREVIEW_FAILED").alias("error_code"), F.col("error").alias("message")))
+        .when(end == "cancelled", as_json("preview_id"))
+        .otherwise(as_json("preview_id", end.alias("status"), *numbers))
+    )
+    ended = jobs.select("preview_id", F.lit((1 << 63) - 1).alias("seq"), F.concat(F.lit("preview."), end).alias("event_type"), told.alias("payload"))
+    return began.unionByName(each).unionByName(ended)
+
+
+def preview_replay(log: DataFrame, preview_id: str, after: int | None = None) -> DataFrame:
+    """The events of one job after a cursor, in order, up to its terminal event."""
+    rows = log.where(F.col("preview_id") == preview_id)
+    return (rows if after is None else rows.where(F.col("seq") > after)).orderBy("seq")

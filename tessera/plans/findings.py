@@ -115,11 +115,11 @@ _RULES = [
     ("seo.missing_canonical", "seo", "warning", "head", "canonical = 'missing'", "'No canonical link tag found. Without it, duplicate content signals may confuse crawlers.'", 0.92, 'link[rel="canonical"]', "'<link rel=\"canonical\" href=\"' || url || '\" />'"),
     ("seo.thin_content", "seo", "warning", "content", "words < 300 AND status_code = 200", "'Page has only ' || words || ' words. Content under 300 words is often considered thin by search engines.'", None, "body", None),
     ("seo.missing_schema_org", "seo", "info", "content", "true", "'No JSON-LD Schema.org markup found. Structured data enables rich results in search.'", None, 'script[type="application/ld+json"]', None),
-    ("security.missing_hsts", "security", "critical", "server", "list_contains(mh, 'HSTS')", "'The Strict-Transport-Security (HSTS) header is missing. This allows downgrade attacks from HTTPS to HTTP.'", 0.99, "response.headers", "'Strict-Transport-Security: max-age=31536000; includeSubDomains'"),
-    ("security.missing_csp", "security", "critical", "server", "list_contains(mh, 'CSP')", "'The Content-Security-Policy (CSP) header is missing, leaving the site vulnerable to XSS attacks.'", 0.85, "response.headers", "'Content-Security-Policy: default-src ''self'''"),
-    ("security.missing_x_frame", "security", "warning", "server", "list_contains(mh, 'X-Frame-Options')", "'X-Frame-Options header is missing. Pages can be embedded in iframes, enabling clickjacking attacks.'", 0.95, "response.headers", "'X-Frame-Options: SAMEORIGIN'"),
-    ("security.missing_x_content_type", "security", "warning", "server", "list_contains(mh, 'X-Content-Type-Options')", "'X-Content-Type-Options header is missing. Browsers may MIME-sniff responses, enabling content injection.'", 0.99, "response.headers", "'X-Content-Type-Options: nosniff'"),
-    ("security.missing_referrer_policy", "security", "info", "server", "list_contains(mh, 'Referrer-Policy')", "'Referrer-Policy header is absent. The full URL may be sent to third parties via the Referer header.'", 0.95, "response.headers", "'Referrer-Policy: strict-origin-when-cross-origin'"),
+    ("security.missing_hsts", "security", "critical", "server", "list_contains(mh, 'HSTS') OR list_contains(mh, 'strict-transport-security')", "'The Strict-Transport-Security (HSTS) header is missing. This allows downgrade attacks from HTTPS to HTTP.'", 0.99, "response.headers", "'Strict-Transport-Security: max-age=31536000; includeSubDomains'"),
+    ("security.missing_csp", "security", "critical", "server", "list_contains(mh, 'CSP') OR list_contains(mh, 'content-security-policy')", "'The Content-Security-Policy (CSP) header is missing, leaving the site vulnerable to XSS attacks.'", 0.85, "response.headers", "'Content-Security-Policy: default-src ''self'''"),
+    ("security.missing_x_frame", "security", "warning", "server", "list_contains(mh, 'X-Frame-Options') OR list_contains(mh, 'x-frame-options')", "'X-Frame-Options header is missing. Pages can be embedded in iframes, enabling clickjacking attacks.'", 0.95, "response.headers", "'X-Frame-Options: SAMEORIGIN'"),
+    ("security.missing_x_content_type", "security", "warning", "server", "list_contains(mh, 'X-Content-Type-Options') OR list_contains(mh, 'x-content-type-options')", "'X-Content-Type-Options header is missing. Browsers may MIME-sniff responses, enabling content injection.'", 0.99, "response.headers", "'X-Content-Type-Options: nosniff'"),
+    ("security.missing_referrer_policy", "security", "info", "server", "list_contains(mh, 'Referrer-Policy') OR list_contains(mh, 'referrer-policy')", "'Referrer-Policy header is absent. The full URL may be sent to third parties via the Referer header.'", 0.95, "response.headers", "'Referrer-Policy: strict-origin-when-cross-origin'"),
     ("performance.slow_response", "performance", "warning", "server", "response > 800", "'Server response time is ' || CAST(round(response) AS BIGINT) || 'ms, exceeding the 800ms threshold. Slow TTFB negatively impacts Core Web Vitals.'", None, "network", None),
     ("performance.slow_load", "performance", "warning", "server", "dom > 3000", "'DOM complete time is ' || CAST(round(dom) AS BIGINT) || 'ms, exceeding 3000ms. Users on slower connections may abandon the page.'", None, "network", None),
     ("structure.broken_link", "seo", "warning", "content", "status_code IN (404, 410)", "'This page returned HTTP ' || status_code || ', indicating a broken or removed resource.'", None, "http.response", None),

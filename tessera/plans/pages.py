@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import contacts as C
@@ -19,7 +18,7 @@ from tessera.sources.tables import table
 
 def crawl_list(spark, sf_dir):
     rows = reads.crawl_list(table(spark, sf_dir, "crawls"), findings(spark, sf_dir), domain="o%-", status=" Completed")
-    return rows.select("id", "target_domain", "status", "findings_count").orderBy(*reads.newest_first("id")).limit(50)
+    return rows.select("id", "target_domain", "status", "findings_count").orderBy(*reads.newest_first("started_at")).limit(50)
 
 
 def crawl_counts(spark, sf_dir):
@@ -34,13 +33,6 @@ def crawl_status(spark, sf_dir):
     return rows.select("id", F.col("now").alias("status"), done.alias("progress"), reads.next_action(F.col("now")).alias("next_action"))
 
 
-def active_crawl(spark, sf_dir):
-    """The newest crawl of each domain."""
-    w = Window.partitionBy(F.lower("target_domain")).orderBy(F.col("started_at").desc_nulls_last(), F.col("id").desc())
-    rows = table(spark, sf_dir, "crawls").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return rows.select("id", F.lower("target_domain").alias("domain"), "status")
-
-
 def crawl_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "crawls", "id", "target_domain")
     return rows.select("id", crawl_uuid(F.col("id")).alias("by_id"), crawl_uuid(F.lower("target_domain")).alias("by_name"))
@@ -123,7 +115,7 @@ def security_signals(spark, sf_dir):
     """The audit of headers that stand for what each page's metadata says of them."""
     pages = table(spark, sf_dir, "pages", "id", "status_code", F.col("metadata.security.missing_headers").alias("missing")).where("missing is not null")
     names = dict(H.SECURITY_HEADERS)
-    pairs = [F.when(~F.array_contains("missing", label), F.struct(F.lit(name.upper()).alias("k"), F.lit("on").alias("v"))) for name, label in names.items()]
+    pairs = [F.when(~(F.array_contains("missing", label) | F.array_contains("missing", name)), F.struct(F.lit(name.upper()).alias("k"), F.lit("on").alias("v"))) for name, label in names.items()]
     extra = [F.struct(F.lit("Set-Cookie").alias("k"), F.concat(F.lit("s"), F.col("id").cast("string"), F.lit("=1; Secure, t=2; HttpOnly; SameSite=Lax; Secure")).alias("v")), F.struct(F.lit("Content-Encoding").alias("k"), F.when(F.col("status_code") == 200, " GZIP").otherwise("identity").alias("v"))]
     headers = F.map_from_entries(F.array_compact(F.array(*pairs, *extra)))
     a = pages.select("id", H.security_audit(headers).alias("a"))
@@ -202,7 +194,7 @@ def job_states(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    crawl_list, crawl_counts, crawl_status, active_crawl, crawl_ids, path_tree, page_search, statistics, status_histogram, artifacts, page_metadata, contact_list, contact_sources, contact_counts,
+    crawl_list, crawl_counts, crawl_status, crawl_ids, path_tree, page_search, statistics, status_histogram, artifacts, page_metadata, contact_list, contact_sources, contact_counts,
     contact_rollup, scorecard, missing_headers, consolidation, seo_signals, security_signals, runtime_signals, blocked_responses, contacts_extracted, document_contacts, contacts_validated, page_text,
     payload_states, html_markdown, full_audits, crawl_inspection, job_states,
 )}
@@ -260,18 +252,25 @@ def _contacts_sql(relation: str, key: str, column: str) -> str:
     return f"SELECT {key}, {pick(_EMAIL, _valid_email)} AS emails, {pick(_PHONE, _valid_phone)} AS phones FROM {relation} WHERE {column} IS NOT NULL"
 
 
+def _uuid(name: str) -> str:
+    digest = f"sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode({name}))"
+    part = lambda a, n: f"substr({digest}, {a}, {n})"
+    variant = f"['8', '9', 'a', 'b'][(strpos('0123456789abcdef', {part(17, 1)}) - 1) % 4 + 1]"
+    hashed = f"{part(1, 8)} || '-' || {part(9, 4)} || '-5' || {part(14, 3)} || '-' || {variant} || {part(18, 3)} || '-' || {part(21, 12)}"
+    return f"CASE WHEN regexp_full_match(lower({name}), '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') THEN lower({name}) ELSE {hashed} END"
+
+
 _BODY = "lower(substr(coalesce(c.raw_html, ''), 1, 8192))"
 _SIGNALS = " OR ".join(f"contains(b, '{x}')" for x in gates.BLOCK_SIGNALS)
 ORACLE = {
     "crawl_inspection": "SELECT c.id, c.target_domain, c.status, (SELECT count(*) FROM pages p WHERE p.crawl_id = c.id) AS pages, (SELECT count(*) FROM page_contacts k JOIN pages p ON p.id = k.page_id WHERE p.crawl_id = c.id) AS contacts FROM (SELECT * FROM crawls ORDER BY started_at DESC NULLS LAST, id LIMIT 5) c",
     "job_states": "SELECT id, CASE WHEN pages_failed = 0 THEN 'completed' WHEN pages_failed < 4 THEN 'completed_with_errors' WHEN pages_failed <> 1 THEN 'cancelled' ELSE 'processing' END AS status FROM crawls",
     "seo_signals": _SEO,
-    "crawl_list": FINDINGS_SQL + "SELECT c.id, c.target_domain, c.status, (SELECT count(*) FROM findings f WHERE f.crawl_id = c.id) AS findings_count FROM crawls c WHERE target_domain ILIKE '%o%-%' AND status = 'completed' ORDER BY id DESC LIMIT 50",
+    "crawl_list": FINDINGS_SQL + "SELECT c.id, c.target_domain, c.status, (SELECT count(*) FROM findings f WHERE f.crawl_id = c.id) AS findings_count FROM crawls c WHERE target_domain ILIKE '%o%-%' AND status = 'completed' ORDER BY started_at DESC NULLS FIRST, id DESC LIMIT 50",
     "crawl_counts": FINDINGS_SQL + "SELECT c.id, count(f.id) AS findings_count FROM crawls c LEFT JOIN findings f ON f.crawl_id = c.id GROUP BY c.id",
     "crawl_status": """WITH c AS (SELECT *, CASE WHEN json_extract(config, '$.consolidation') IS NOT NULL THEN 'finished' WHEN status = 'queued' AND pages_processed > 0 THEN 'running' ELSE status END AS now, coalesce(pages_processed, 0) AS done, coalesce(nullif(TRY_CAST(json_extract_string(config, '$.max_pages') AS INTEGER), 0), 15) AS most FROM crawls)
 SELECT id, now AS status, CAST(CASE WHEN now IN ('finished', 'completed') THEN 1.0 WHEN now IN ('failed', 'cancelled') THEN CASE WHEN done > 0 THEN 1.0 ELSE 0.0 END WHEN now IN ('running', 'queued', 'paused', 'draining', 'consolidating') THEN CASE WHEN most > 0 THEN least(0.95, round(done / most, 2)) ELSE 0.5 END ELSE 0.0 END AS DOUBLE) AS progress,
   CASE WHEN now IN ('finished', 'completed') THEN 'retrieve' WHEN now IN ('running', 'queued', 'paused', 'draining', 'consolidating') THEN 'wait' ELSE 'none' END AS next_action FROM c""",
-    "active_crawl": "SELECT id, lower(target_domain) AS domain, status FROM (SELECT *, row_number() OVER (PARTITION BY lower(target_domain) ORDER BY started_at DESC NULLS LAST, id DESC) AS rn FROM crawls) WHERE rn = 1",
     "path_tree": "WITH c AS (SELECT crawl_id, path, count(*) AS pages FROM pages WHERE path IS NOT NULL GROUP BY ALL), n AS (SELECT *, CASE WHEN path = '/' THEN NULL WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS above FROM c) SELECT n.crawl_id, n.path, n.pages, CASE WHEN above IS NULL THEN NULL WHEN u.path IS NOT NULL THEN above ELSE '/' END AS parent, CAST(len(string_split(n.path, '/')) - 1 AS BIGINT) AS depth FROM n LEFT JOIN c u ON u.crawl_id = n.crawl_id AND u.path = n.above",
     "page_search": "SELECT id, url FROM pages WHERE url ILIKE '%museum%' OR canonical_url ILIKE '%museum%' OR summary ILIKE '%museum%' ORDER BY url, id LIMIT 100",
     "statistics": "SELECT crawl_id, count(*) AS pages, count(*) FILTER (status_code < 400) AS processed, count(*) FILTER (status_code >= 500) AS failed, count(*) FILTER (status_code BETWEEN 400 AND 499) AS excluded, count(*) FILTER (markdown_file_id IS NULL) AS pending FROM pages GROUP BY crawl_id",
@@ -285,11 +284,14 @@ SELECT id, now AS status, CAST(CASE WHEN now IN ('finished', 'completed') THEN 1
     "scorecard": _SCORE,
     "missing_headers": "SELECT crawl_id, header, count(*) AS n FROM (SELECT crawl_id, unnest(metadata.security.missing_headers) AS header FROM pages) GROUP BY ALL",
     "consolidation": f"WITH s AS ({_SCORE}), r AS (SELECT p.crawl_id, c.kind, c.value FROM page_contacts c JOIN pages p ON p.id = c.page_id GROUP BY ALL) SELECT c.id AS crawl_id, coalesce(s.pages, 0) AS pages_processed, coalesce(h1_coverage_pct, 0) AS h1_coverage_pct, coalesce(meta_description_coverage_pct, 0) AS meta_description_coverage_pct, coalesce(image_alt_coverage_pct, 100) AS image_alt_coverage_pct, coalesce(average_security_score, 0) AS average_security_score, (SELECT count(*) FROM r WHERE r.crawl_id = c.id AND kind = 'email') AS unique_emails, (SELECT count(*) FROM r WHERE r.crawl_id = c.id AND kind = 'phone') AS unique_phones, (SELECT count(*) FROM page_links l WHERE l.crawl_id = c.id AND contains(l.to_url, '#')) AS anchor_links_evaluated, (SELECT count(*) FROM pages q WHERE q.crawl_id = c.id AND q.status_code >= 500) AS pages_failed, (SELECT count(*) FROM page_links l WHERE l.crawl_id = c.id AND NOT l.is_internal) AS telemetry_dropped FROM crawls c LEFT JOIN s ON s.crawl_id = c.id",
-    "security_signals": """WITH p AS (SELECT id, status_code, metadata.security.missing_headers AS m FROM pages WHERE metadata.security.missing_headers IS NOT NULL), q AS (SELECT *, list_filter(['HSTS','CSP','X-Frame-Options','X-Content-Type-Options','Referrer-Policy','Permissions-Policy'], lambda x: list_contains(m, x)) AS miss FROM p)
+    "security_signals": """WITH p AS (SELECT id, status_code, metadata.security.missing_headers AS m FROM pages WHERE metadata.security.missing_headers IS NOT NULL), q AS (SELECT *, list_transform(list_filter([['HSTS', 'strict-transport-security'], ['CSP', 'content-security-policy'], ['X-Frame-Options', 'x-frame-options'], ['X-Content-Type-Options', 'x-content-type-options'], ['Referrer-Policy', 'referrer-policy'], ['Permissions-Policy', 'permissions-policy']], lambda x: list_contains(m, x[1]) OR list_contains(m, x[2])), lambda x: x[1]) AS miss FROM p)
 SELECT id, CAST(trunc((6 - len(miss)) / 6 * 100) AS INTEGER) AS security_score, array_to_string(miss, ',') AS missing, 's' || id || ' (missing HttpOnly, missing SameSite)' AS cookies, CASE WHEN status_code = 200 THEN 'gzip' ELSE 'identity' END AS compression, coalesce(status_code = 200, false) AS is_compressed FROM q""",
     "runtime_signals": "SELECT id, coalesce(metadata.runtime.js_error_count, 0) AS errors, least(coalesce(metadata.runtime.js_error_count, 0), 5) AS kept, round(coalesce(CAST(metadata.runtime.response_time_ms AS DOUBLE), 0) / 7, 2) >= 100 AS slow, round(metadata.runtime.dom_complete_ms, 2) AS dom_complete_ms FROM pages WHERE metadata.runtime IS NOT NULL",
     "blocked_responses": f"""WITH x AS (SELECT c.page_id, p.status_code, {_BODY} AS b FROM page_content c JOIN pages p ON p.id = c.page_id), y AS (SELECT page_id, coalesce(status_code IN (403, 429, 503), false) OR {_SIGNALS} OR contains(b, '<div id="root"></div>') OR contains(b, '<div id="root"> </div>') OR (contains(b, '<div id="root">') AND NOT contains(b, '<a ')) OR contains(b, '<div id="app"></div>') OR contains(b, '<div id="__next"></div>') OR (length(b) < 5000 AND (contains(b, '<script') OR contains(b, '/assets/')) AND NOT contains(b, '<a ')) AS blocked FROM x) SELECT page_id, blocked, CASE WHEN blocked THEN 'stealth' ELSE 'http' END AS session FROM y""",
     "contacts_extracted": _contacts_sql("page_content", "page_id", "raw_markdown"),
     "page_text": r"""SELECT p.id AS page_id, CASE WHEN coalesce(p.markdown_file_id, '') <> '' AND c.raw_markdown IS NOT NULL THEN 'AVAILABLE' ELSE 'CONTENT_UNAVAILABLE' END AS status, CASE WHEN coalesce(p.markdown_file_id, '') <> '' THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(c.raw_markdown, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '```[^\n]*\n?', '', 'g'), '[*_`>#-]', '', 'g') END AS body FROM pages p LEFT JOIN page_content c ON c.page_id = p.id""",
-    "payload_states": "SELECT page_id, CAST(NULL AS VARCHAR) AS hydration_state, CASE WHEN trim(coalesce(raw_markdown, '')) <> '' THEN 'markitdown' ELSE 'none' END AS methods FROM page_content",
+    "contacts_validated": f"SELECT id, {_valid_email('value')} AS email, {_valid_phone('value')} AS phone FROM page_contacts",
+    "document_contacts": _contacts_sql("documents", "doc_id", "text"),
+    "crawl_ids": f"SELECT id, {_uuid('id')} AS by_id, {_uuid('lower(target_domain)')} AS by_name FROM crawls",
+    "payload_states": "SELECT page_id, CAST(NULL AS VARCHAR) AS hydration_state, CASE WHEN regexp_matches(coalesce(raw_markdown, ''), '\\S') THEN 'markitdown' ELSE 'none' END AS methods FROM page_content",
 }

@@ -29,9 +29,12 @@ def url_inventory(spark, sf_dir):
     return merge.latest(rows.select("id", "crawl_id", "normalized_url", "original_url", "normalized_path"), ["crawl_id", "normalized_url"], "id")
 
 
-def _inventory(spark, sf_dir):
-    """Inventory rows of a crawl's pages and links: pages are processed, other links queued."""
+def _inventory(spark, sf_dir, own=True):
+    """Inventory rows of a crawl's pages and links, of its own origin or of all: pages are processed, other links queued."""
     links = selection.inventory_of(table(spark, sf_dir, "page_links", "id", "crawl_id", "to_url"))
+    if own:  # before the aggregate
+        crawls = table(spark, sf_dir, "crawls", F.col("id").alias("crawl_id"), urls.origin(F.col("target_url")).alias("target_origin"))
+        links = links.join(crawls, "crawl_id").where("origin = target_origin")
     rows = links.groupBy("crawl_id", "normalized_url").agg(F.min("id").alias("id"), F.min_by("origin", "id").alias("origin"), F.min_by("normalized_path", "id").alias("normalized_path"))
     known = table(spark, sf_dir, "pages", "id", "crawl_id", "canonical_url").groupBy("crawl_id", F.col("canonical_url").alias("normalized_url")).agg(F.min("id").alias("page_id"))
     rows = rows.join(known, ["crawl_id", "normalized_url"], "left")
@@ -40,10 +43,9 @@ def _inventory(spark, sf_dir):
 
 
 def _selected(spark, sf_dir):
-    """The selection of the one large site."""
-    origin = "https://open-lantern-school.example"
-    include, exclude = patterns.compile_rules(["/**"], "include", origin), patterns.compile_rules(["/**/*login*", "/our-*"], "exclude", origin)
-    return selection.select_inventory(_inventory(spark, sf_dir), table(spark, sf_dir, "pages"), origin, "/", "markdown", include, exclude, ("image",))
+    """The selection of each crawl's own origin."""
+    include, exclude = patterns.compile_rules(["/**"], "include", ""), patterns.compile_rules(["/**/*login*", "/our-*"], "exclude", "")
+    return selection.select_inventory(_inventory(spark, sf_dir), table(spark, sf_dir, "pages"), F.col("origin"), "/", "markdown", include, exclude, ("image",))
 
 
 def selection_items(spark, sf_dir):
@@ -56,12 +58,11 @@ def selection_counts(spark, sf_dir):
 
 def selection_manifest(spark, sf_dir):
     rows = selection.selection_manifest(_selected(spark, sf_dir))
-    return rows.select("id", F.get_json_object("item", "$.decision").alias("decision"), F.get_json_object("item", "$.url").alias("url"))
+    return rows.select("id", *[F.get_json_object("item", f"$.{k}").alias(k) for k in ("url", "page_id", "decision", "reason", "content_status")])
 
 
 def selection_scope(spark, sf_dir):
-    origin = "https://open-lantern-school.example"
-    rows = selection.select_inventory(_inventory(spark, sf_dir), table(spark, sf_dir, "pages"), origin, "/o", "html", [], [])
+    rows = selection.select_inventory(_inventory(spark, sf_dir), table(spark, sf_dir, "pages"), F.col("origin"), "/o", "html", [], [])
     return rows.select("id", "normalized_path", "decision", "reason", "content_status")
 
 
@@ -69,11 +70,6 @@ def archive_names(spark, sf_dir):
     return selection.archive_entries(_selected(spark, sf_dir), "markdown", ["crawl_id"]).select("id", "crawl_id", "name")
 
 
-def preview_events(spark, sf_dir):
-    rows = selection.preview_events(_selected(spark, sf_dir))
-    return rows.select("id", "event_type", F.get_json_object("payload", "$.decision").alias("decision"))
-
-
 def url_rule_decisions(spark, sf_dir):
     rows = table(spark, sf_dir, "pages", "id", "url")
     include, exclude = (patterns.compile_rules(p, k, "https://any.example") for p, k in ((INCLUDE, "include"), (EXCLUDE, "exclude")))
@@ -138,7 +134,7 @@ def url_duplicates(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    canonical_urls, link_parts, url_inventory, selection_items, selection_counts, selection_manifest, selection_scope, archive_names, preview_events, url_rule_decisions,
+    canonical_urls, link_parts, url_inventory, selection_items, selection_counts, selection_manifest, selection_scope, archive_names, url_rule_decisions,
     anchor_links, link_gates, telemetry_reasons, telemetry_recent, graph_edges, graph_limited, incoming_links, outgoing_links, link_insert_ignore, url_duplicates,
 )}
 
@@ -157,26 +153,30 @@ def _sql(column: str) -> dict[str, str]:
 
 
 _U, _T = _sql("url"), _sql("to_url")
-_RULES = [(p, k, i) for k, ps in (("include", INCLUDE), ("exclude", EXCLUDE)) for i, p in enumerate(ps)]
-
-
-def _rule_sql() -> str:
-    compiled = [r for k, ps in (("include", INCLUDE), ("exclude", EXCLUDE)) for r in patterns.compile_rules(ps, k, "https://any.example")]
-    values = ", ".join("(" + ", ".join([f"'{r.rule_id}'", f"'{r.kind}'", f"'{r.regex}'", *map(str, r.specificity), str(r.index)]) + ")" for r in compiled)
-    return f"""WITH u AS (SELECT id, {_U['path']} AS normalized_path FROM pages),
-rules(rule_id, kind, regex, s0, s1, s2, s3, pos) AS (VALUES {values}),
-m AS (SELECT u.id, r.*, row_number() OVER (PARTITION BY u.id ORDER BY s0 DESC, s1 DESC, s2 DESC, s3 DESC, (kind = 'exclude') DESC, pos) AS rn, count(*) FILTER (kind = 'include') OVER (PARTITION BY u.id) AS n_include FROM u JOIN rules r ON regexp_matches(u.normalized_path, r.regex))
-SELECT u.id, CASE WHEN regexp_matches(lower(u.normalized_path), '[.](pdf|doc|docx|xls|xlsx|ppt|pptx)$') OR coalesce(m.n_include, 0) = 0 OR m.kind = 'exclude' THEN 'excluded' ELSE 'included' END AS decision,
-       CASE WHEN regexp_matches(lower(u.normalized_path), '[.](pdf|doc|docx|xls|xlsx|ppt|pptx)$') THEN 'excluded_resource_type:document' WHEN coalesce(m.n_include, 0) = 0 THEN 'include_no_match' ELSE 'matched_' || m.kind END AS reason,
-       u.normalized_path, CASE WHEN coalesce(m.n_include, 0) > 0 THEN m.rule_id END AS rule_id
+#: The rules of the query as they are meant: kind, place, pattern, what matches the parts of a path, and how specific it is.
+_RULES = (
+    ("include", 0, "/courses/**", "parts[1] = 'courses'", (1, -1, -2, 9)),
+    ("include", 1, "/guides/**", "parts[1] = 'guides'", (1, -1, -2, 8)),
+    ("include", 2, "/library/**", "parts[1] = 'library'", (1, -1, -2, 9)),
+    ("include", 3, "/blog/*", "len(parts) = 2 AND parts[1] = 'blog'", (1, 0, -1, 6)),
+    ("exclude", 0, "/blog/**", "parts[1] = 'blog'", (1, -1, -2, 6)),
+    ("exclude", 1, "/courses/*early*", "len(parts) = 2 AND parts[1] = 'courses' AND contains(parts[2], 'early')", (1, 0, -2, 14)),
+    ("exclude", 2, "/**/*museum*", "len(parts) > 0 AND contains(parts[-1], 'museum')", (0, -1, -4, 8)),
+)
+_DOCUMENT = "regexp_matches(lower(normalized_path), '[.](pdf|doc|docx|xls|xlsx|ppt|pptx)$')"
+_HITS = " UNION ALL ".join(f"SELECT id, '{k}:' || substr(sha256('{k}:{i}:{p}'), 1, 16) AS rule_id, '{k}' AS kind, {i} AS pos, {', '.join(f'{x} AS s{n}' for n, x in enumerate(s))} FROM u WHERE {hit}" for k, i, p, hit, s in _RULES)
+_DECISIONS = f"""WITH u AS (SELECT id, {_U['path']} AS normalized_path, list_filter(string_split(lower({_U['path']}), '/'), lambda x: x <> '') AS parts FROM pages),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s0 DESC, s1 DESC, s2 DESC, s3 DESC, (kind = 'exclude') DESC, pos) AS rn, count(*) FILTER (kind = 'include') OVER (PARTITION BY id) AS n_include FROM ({_HITS}))
+SELECT u.id, CASE WHEN {_DOCUMENT} OR coalesce(m.n_include, 0) = 0 OR m.kind = 'exclude' THEN 'excluded' ELSE 'included' END AS decision,
+       CASE WHEN {_DOCUMENT} THEN 'excluded_resource_type:document' WHEN coalesce(m.n_include, 0) = 0 THEN 'include_no_match' ELSE 'matched_' || m.kind END AS reason,
+       u.normalized_path, CASE WHEN coalesce(m.n_include, 0) > 0 AND NOT {_DOCUMENT} THEN m.rule_id END AS rule_id
 FROM u LEFT JOIN m ON m.id = u.id AND m.rn = 1"""
-
-
-_INVENTORY = f"""WITH l AS (SELECT id, crawl_id, {_T['canonical']} AS normalized_url, {_T['origin']} AS origin, {_T['path']} AS normalized_path FROM page_links),
+_ALL_INVENTORY = f"""WITH l AS (SELECT id, crawl_id, {_T['canonical']} AS normalized_url, {_T['origin']} AS origin, {_T['path']} AS normalized_path FROM page_links),
 g AS (SELECT crawl_id, normalized_url, min(id) AS id, arg_min(origin, id) AS origin, arg_min(normalized_path, id) AS normalized_path FROM l GROUP BY ALL),
 k AS (SELECT crawl_id, canonical_url AS normalized_url, min(id) AS page_id FROM pages GROUP BY ALL),
-inv AS (SELECT g.*, k.page_id, CASE WHEN k.page_id IS NOT NULL THEN 'processed' WHEN contains(normalized_path, 'member') THEN 'excluded' ELSE 'queued' END AS processing_status FROM g LEFT JOIN k USING (crawl_id, normalized_url) WHERE origin = 'https://open-lantern-school.example'),
+inv AS (SELECT g.*, k.page_id, CASE WHEN k.page_id IS NOT NULL THEN 'processed' WHEN contains(normalized_path, 'member') THEN 'excluded' ELSE 'queued' END AS processing_status FROM g LEFT JOIN k USING (crawl_id, normalized_url))
 """
+_INVENTORY = _ALL_INVENTORY.replace("USING (crawl_id, normalized_url))", f"USING (crawl_id, normalized_url) JOIN crawls w ON w.id = g.crawl_id WHERE g.origin = {_sql('w.target_url')['origin']}),")
 _SELECTED = _INVENTORY + """
 sel AS (SELECT i.*, CASE WHEN processing_status = 'excluded' AND page_id IS NULL THEN 'crawl_restriction' WHEN regexp_matches(normalized_path, '(?i)[.](png|jpg|jpeg|gif|webp|svg|ico|avif)$') THEN 'excluded_resource_type:image'
         WHEN regexp_matches(normalized_path, '(?i)^/our-[^/]*/?$') OR regexp_matches(normalized_path, '(?i)^(/[^/]+)*/[^/]*login[^/]*/?$') THEN 'matched_exclude' ELSE 'matched_include' END AS reason,
@@ -207,11 +207,10 @@ ORACLE = {
     "url_inventory": f"SELECT id, crawl_id, normalized_url, original_url, normalized_path FROM (SELECT id, crawl_id, to_url AS original_url, {_T['canonical']} AS normalized_url, {_T['path']} AS normalized_path, row_number() OVER (PARTITION BY crawl_id, {_T['canonical']} ORDER BY id DESC) AS rn FROM page_links) WHERE rn = 1",
     "selection_items": _SELECTED + "SELECT id, crawl_id, normalized_url, decision, reason, content_status FROM d",
     "selection_counts": _SELECTED + "SELECT crawl_id, count(*) AS total_candidates, count(*) FILTER (decision = 'included') AS included, count(*) FILTER (decision = 'excluded') AS excluded, count(*) FILTER (decision = 'outside_scope') AS outside_scope, count(*) FILTER (content_status = 'unavailable') AS unavailable_content FROM d GROUP BY crawl_id",
-    "selection_manifest": _SELECTED + "SELECT id, decision, normalized_url AS url FROM d",
+    "selection_manifest": _SELECTED + "SELECT id, normalized_url AS url, page_id::VARCHAR AS page_id, decision, reason, content_status FROM d",
     "selection_scope": _INVENTORY + "sel AS (SELECT i.id, i.normalized_path, i.page_id, i.processing_status, p.metadata.html_file_id AS f FROM inv i LEFT JOIN pages p ON p.id = i.page_id WHERE starts_with(normalized_path, '/o')) SELECT id, normalized_path, CASE WHEN normalized_path = '/o' OR starts_with(normalized_path, '/o/') THEN CASE WHEN processing_status = 'excluded' THEN 'excluded' ELSE 'included' END ELSE 'outside_scope' END AS decision, CASE WHEN normalized_path = '/o' OR starts_with(normalized_path, '/o/') THEN CASE WHEN processing_status = 'excluded' THEN 'crawl_restriction' ELSE 'no_rules' END ELSE 'outside_scope' END AS reason, CASE WHEN page_id IS NOT NULL AND coalesce(f, '') <> '' THEN 'available' ELSE 'unavailable' END AS content_status FROM sel",
     "archive_names": _SELECTED + ", n AS (SELECT id, crawl_id, array_to_string(list_filter(string_split(regexp_replace(normalized_url, '[?#].*$', ''), '/'), lambda x: x NOT IN ('', '.', '..')), '/') || '.md' AS base FROM d WHERE decision = 'included'), m AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, base ORDER BY id) AS rn FROM n) SELECT id, crawl_id, CASE WHEN rn = 1 THEN base ELSE regexp_replace(base, '[.]md$', '-' || rn || '.md') END AS name FROM m",
-    "preview_events": _SELECTED + "SELECT id, 'preview.url_evaluated' AS event_type, decision FROM d",
-    "url_rule_decisions": _rule_sql(),
+    "url_rule_decisions": _DECISIONS,
     "anchor_links": _ANCHORS + 'SELECT page_id, pos AS "at", href, url FROM r',
     "link_gates": _GATES + 'SELECT page_id, pos AS "at", reason FROM gated',
     "telemetry_reasons": _GATES + "SELECT reason, count(*) AS n FROM gated GROUP BY reason",

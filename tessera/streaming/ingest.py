@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tessera.functions.payload import json_or, json_strings
+from tessera.functions.urls import fingerprint
 
 KINDS = ("results", "telemetry", "dlq")
 
@@ -38,6 +39,18 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str | None = None, de
     return at.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def discovered(stream: DataFrame, url: str = "url") -> DataFrame:
+    """A stream's addresses, each once for a crawl over all batches, with their fingerprint: the ledger of discoveries is the query's state."""
+    return stream.where(F.col(url).isNotNull()).withColumn("fingerprint", fingerprint(F.col(url))).dropDuplicates(["crawl_id", "fingerprint"])
+
+
+def consolidated_when_drained(stream: DataFrame, target: str, checkpoint: str, effects: Callable[[DataFrame], dict[str, DataFrame]], consolidate: Callable[[], DataFrame], report: str) -> DataFrame:
+    """Take in all that there is, and then write what ``consolidate`` gives to ``report``; if the stream fails, nothing is consolidated."""
+    run(stream, target, checkpoint, effects).awaitTermination()
+    consolidate().write.mode("overwrite").parquet(report)
+    return stream.sparkSession.read.parquet(report)
+
+
 def routed(batch: DataFrame, stream_name: str = "stream_name") -> dict[str, DataFrame]:
     """A batch's rows by the kind of stream that its name ends with."""
     return {kind: batch.where(F.col(stream_name).endswith(":" + kind)) for kind in KINDS}
