@@ -233,8 +233,15 @@ SELECT page_id, title, CAST(length(title) AS INTEGER) AS title_length, descr AS
 _EMAIL, _PHONE = C.EMAIL.replace("'", "''"), C.PHONE.replace("'", "''")
 
 
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
 def _valid_email(x: str) -> str:
-    clean = rf"lower(regexp_replace(trim({x}), '^[.,;:()<>\[\]\"'']+|[.,;:()<>\[\]\"'']+$', '', 'g'))"
+    clean = rf"lower(regexp_replace({_bare(x)}, '^[.,;:()<>\[\]\"'']+|[.,;:()<>\[\]\"'']+$', '', 'g'))"
     bad = ", ".join(f"'{e}'" for e in C.ASSET_ENDINGS)
     domains = ", ".join(f"'{d}'" for d in C.PLACEHOLDER_DOMAINS)
     local, domain = f"string_split({clean}, '@')[1]", f"regexp_extract({clean}, '^[^@]*@(.*)$', 1)"
@@ -242,9 +249,9 @@ def _valid_email(x: str) -> str:
 
 
 def _valid_phone(x: str) -> str:
-    raw = rf"regexp_replace(trim({x}), '^[.,;:<>\"''#*]+|[.,;:<>\"''#*]+$', '', 'g')"
+    raw = rf"regexp_replace({_bare(x)}, '^[.,;:<>\"''#*]+|[.,;:<>\"''#*]+$', '', 'g')"
     digits = rf"regexp_replace({raw}, '[^0-9]', '', 'g')"
-    return rf"(CASE WHEN NOT regexp_matches({raw}, '{C.DATE}') AND NOT regexp_matches({raw}, '{C.TIME}') AND NOT regexp_matches({raw}, '{C.ADDRESS}') AND length({digits}) BETWEEN 7 AND 15 AND length(replace({digits}, {digits}[1], '')) > 0 AND NOT contains('{C.RISING}', {digits}) AND NOT contains('{C.FALLING}', {digits}) AND regexp_matches({raw}, '^[+]|[\s().-]') AND NOT (length({digits}) IN (10, 13) AND regexp_matches({digits}, '^1[5-9]') AND NOT starts_with({raw}, '+')) THEN trim(regexp_replace({raw}, '[\s.-]+', ' ', 'g')) END)"
+    return rf"(CASE WHEN NOT regexp_matches({raw}, '{C.DATE}') AND NOT regexp_matches({raw}, '{C.TIME}') AND NOT regexp_matches({raw}, '{C.ADDRESS}') AND length({digits}) BETWEEN 7 AND 15 AND length(replace({digits}, {digits}[1], '')) > 0 AND NOT contains('{C.RISING}', {digits}) AND NOT contains('{C.FALLING}', {digits}) AND regexp_matches({raw}, '^[+]|{_BLANK}|[().-]') AND NOT (length({digits}) IN (10, 13) AND regexp_matches({digits}, '^1[5-9]') AND NOT starts_with({raw}, '+')) THEN {_bare(rf"regexp_replace({raw}, '({_BLANK}|[.-])+', ' ', 'g')")} END)"
 
 
 def _contacts_sql(relation: str, key: str, column: str) -> str:
