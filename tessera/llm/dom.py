@@ -44,9 +44,12 @@ def leaves(page: str, code: bool = True) -> list[Leaf]:
     body = _HIDDEN.sub("", page[start:])
     if not code:
         body = _CODE.sub(" ", body)
-    found: list[tuple[str, str, tuple[int, ...], int, str]] = []
+    found: list[tuple[str, str, int, int, str]] = []
     path: list[str] = []
-    place: list[int] = [0]  # at each depth, how many elements have begun
+    above: list[int] = [-1]  # the element that each element is in; 0 is the body
+    depth: list[int] = [0]
+    place: list[int] = [0]  # the elements that are open
+    begun: list[int] = [0]  # of each of them, the last element that has begun in it, or itself
     text: list[str] = []
     linked, href, in_link, at = 0, "", False, 0
     block = "body"
@@ -58,7 +61,7 @@ def leaves(page: str, code: bool = True) -> list[Leaf]:
             if not whole.isspace():
                 if "&" in whole:
                     whole = unescape(whole)
-                found.append((whole, block, tuple(place[:4]), linked, href))
+                found.append((whole, block, begun[-1], linked, href))
             text.clear()
         linked, href = 0, ""
 
@@ -81,21 +84,43 @@ def leaves(page: str, code: bool = True) -> list[Leaf]:
         if name in VOID:
             continue
         if not closing:
-            place[-1] += 1
-            place.append(0)
+            begun[-1] = len(above)
+            above.append(place[-1])
+            depth.append(len(place))
+            place.append(begun[-1])
+            begun.append(begun[-1])
             path.append(name)
             block = name
         elif name in path:
             while path:
                 place.pop()
+                begun.pop()
                 if path.pop() == name:
                     break
             block = path[-1] if path else "body"
     if at < len(body):
         text.append(body[at:])
     flush()
-    depth = 0
-    while depth < 3 and found and len({f[2][: depth + 1] for f in found}) == 1:
-        depth += 1
-    names: dict[tuple[int, ...], int] = {}
-    return [Leaf(t, tag, names.setdefault(p[: depth + 1], len(names)), k, h) for t, tag, p, k, h in found]
+    if not found:
+        return []
+    top = found[0][2]  # the lowest element that holds all text
+    for _, _, at, _, _ in found:
+        while top != at:
+            if depth[at] > depth[top]:
+                at = above[at]
+            else:
+                top = above[top]
+    names: dict[int, int] = {}
+    child: dict[int, int] = {top: top}  # of an element, the child of the top that it is or lies in
+
+    def region(at: int) -> int:
+        way = []
+        while at not in child and above[at] != top:
+            way.append(at)
+            at = above[at]
+        out = child.setdefault(at, at)
+        for x in way:
+            child[x] = out
+        return names.setdefault(out, len(names))
+
+    return [Leaf(t, tag, region(at), k, h) for t, tag, at, k, h in found]

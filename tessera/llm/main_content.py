@@ -2,8 +2,9 @@
 
 Minimum-cut labelling. The blocks of a page's Markdown are nodes, of a list, table or quotation each line: a classifier's
 log-odds become the capacity of its edge to the source (content) or the sink (boilerplate). Neighbours are joined by smoothness
-edges, strong between the lines of a run and from a heading to what follows it, and all blocks of one DOM region are joined to a node of that region, whose own capacity says
-whether it looks like the region of the text. Maximum flow then separates content from boilerplate.
+edges, strong between the lines of a run and from a heading to what follows it, and all blocks of one DOM region are joined to a node of that region, whose own capacity is
+its log-odds to be a region of the text, by its heading and words. Maximum flow then separates content from boilerplate. So a line whose words are those of
+boilerplate is cut out of a region of text, and a second region that looks like text is kept.
 
 The classifier is naive Bayes over all words, link targets and forms of a line. It is fitted on a bounded sample of pages, whose
 DOM labels them: text in the region of the page's prose, in elements for prose, is content, all else isn't; a
@@ -40,16 +41,14 @@ SAMPLE_PAGES = 3_000
 LEAST_WORDS, LEAST_COUNT = 50, 4
 #: A line of a message stands on this many short pages.
 MESSAGE_PAGES = 3
-#: Each word's log-odds and a line's sum are bounded.
-WORD_ODDS, LINE_ODDS = 2.5, 6.0
-#: Capacities: neighbours, lines of one run, a heading that is content before something that isn't, a block and its region, a region's own.
-NEXT, RUN, HEADING, REGION, REGION_OWN = 0.5, 4.0, 4.5, 8.0, 60.0
-#: Added to the log-odds by the block's element or form: prose elements, other elements of a page that has prose elements, lists of links.
-PROSE, PLAIN, LINK = 1.0, -20.0, -8.0
+#: Each word's and each region feature's log-odds and a line's sum are bounded. Words of the text stand in boilerplate too, those of boilerplate hardly in the text, so a sum may speak more strongly against a line than for it.
+WORD_ODDS, REGION_ODDS, LINE_ODDS, LOW_ODDS = 2.5, 8.0, 6.0, -14.0
+#: Capacities: neighbours, lines of one run, a heading that is content before something that isn't, a block and its region, a region's own for each unit of its log-odds.
+NEXT, RUN, HEADING, REGION, REGION_OWN = 0.5, 4.0, 4.5, 8.0, 15.0
+#: Added to the log-odds by the block's element or form: a title, prose elements, other elements of a page that has prose elements, lists of links.
+TITLE, PROSE, PLAIN, LINK = 6.0, 1.0, -20.0, -8.0
 #: How much a feature of a line's form counts against one of its words.
 FORM_WEIGHT = 3.0
-#: Characters of a text that are compared when a block's leaf is sought.
-FORM_CHARS = 100
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _SPEAKER = re.compile(r"^[^\W\d_]+: ")
@@ -85,7 +84,7 @@ def _kind(line: str) -> str:
 
 
 def _form(text: str) -> str:
-    return _NOT_WORD.sub("", text[:FORM_CHARS].lower())
+    return _NOT_WORD.sub("", text.lower())
 
 
 def line_features(line: str, kind: str) -> list[str]:
@@ -125,7 +124,7 @@ def line_odds(features: list[str], odds: dict[str, float]) -> float:
                 form += w
             else:
                 words += w
-    return max(-LINE_ODDS, min(LINE_ODDS, words)) + FORM_WEIGHT * form
+    return max(LOW_ODDS, min(LINE_ODDS, words)) + FORM_WEIGHT * form
 
 
 def blocks(markdown: str, odds: dict[str, float]) -> list[Block]:
@@ -169,8 +168,8 @@ def place(found: list[Block], tree: list[Leaf]) -> list[Leaf | None]:
     """The leaf of each block, in order; a block without one takes the leaf of the block before."""
     where: dict[str, list[int]] = {}
     for i, leaf in enumerate(tree):
-        for part in leaf.text.split("\n", 3)[:3] if leaf.tag == "pre" else (leaf.text,):
-            where.setdefault(_form(part.lstrip()), []).append(i)
+        text = leaf.text.lstrip()
+        where.setdefault(_form(text.partition("\n")[0] if leaf.tag == "pre" else text), []).append(i)
     out: list[Leaf | None] = []
     at, before = 0, None
     for b in found:
@@ -197,6 +196,16 @@ def prose_region(tree: list[Leaf]) -> int | None:
     return max(weight, key=lambda r: (weight[r], -r)) if weight else None
 
 
+def region_features(tree: list[Leaf]) -> dict[int, list[str]]:
+    """What tells of each region whether it is one of the text; such features begin with "@"."""
+    seen: dict[int, list[int]] = {}
+    for leaf in tree:
+        r = seen.setdefault(leaf.region, [0, 0])
+        r[0] |= leaf.tag == "h1"
+        r[1] += len(leaf.text.split()) if leaf.tag in PROSE_TAGS and not leaf.linked else 0
+    return {k: [f"@h1 {h1}", f"@words {min(words.bit_length(), 9)}"] for k, (h1, words) in seen.items()}
+
+
 def cut(capacity: list[float], edges: list[tuple[int, int, float, float]]) -> list[bool]:
     """Minimum cut by maximum flow: True for nodes on the source's side.
 
@@ -275,8 +284,8 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
         return []
     tree = leaves(html) if html else []
     spots = place(found, tree) if tree else [None] * len(found)
-    main = prose_region(tree)
     prose = any(leaf.tag == "p" for leaf in tree)
+    told = {k: sum(odds.get(f, 0.0) for f in features) for k, features in region_features(tree).items()}
     capacity: list[float] = []
     edges: list[tuple[int, int, float, float]] = []
     regions: dict[int, int] = {}
@@ -287,11 +296,11 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
             count[0] += 1
             count[1] += not b.run
     for i, (b, leaf) in enumerate(zip(found, spots)):
-        score = b.odds if leaf is None else max(-LINE_ODDS, min(LINE_ODDS, b.odds))
+        score = b.odds if leaf is None else max(LOW_ODDS, min(LINE_ODDS, b.odds))
         if b.kind == "links":
             score += LINK if leaf is not None else 0.0
         elif leaf is not None and b.kind not in ("code", "table"):
-            score += PROSE if leaf.tag in PROSE_TAGS else PLAIN if prose else 0.0
+            score += TITLE if leaf.tag == "h1" else PROSE if leaf.tag in PROSE_TAGS else PLAIN if prose else 0.0
         capacity.append(score)
         if i:
             section = found[i - 1].kind == "heading" and not found[i - 1].top and b.kind != "heading"
@@ -302,8 +311,7 @@ def main_lines(html: str | None, markdown: str | None, odds: dict[str, float]) -
             if node is None:
                 node = regions[leaf.region] = len(capacity)
                 lines_in, runs_in = inside[leaf.region]
-                own = REGION_OWN * lines_in / max(runs_in, 1)  # as strong against a run, however many lines it has
-                capacity.append(own if leaf.region == main else -own)
+                capacity.append(REGION_OWN * told[leaf.region] * lines_in / max(runs_in, 1))  # as strong against a run, however many lines it has
             edges.append((i, node, REGION, REGION))
     side = cut(capacity, edges)
     kept = [b for b, s in zip(found, side) if s]
@@ -324,6 +332,8 @@ def _labelled(html: str, markdown: str) -> Iterator[tuple[list[str], bool]]:
             good[i] = good[i] and good[i + 1]
     if is_short([line for b, g in zip(found, good) if g for line in lines[b.first : b.last + 1]]):
         return  # a message or a short body: the page alone doesn't tell
+    for region, features in region_features(tree).items():
+        yield ["@", *features], region == main
     top = next((i for i, b in enumerate(found) if b.top), 0)
     held: list[str] = []  # a list of links counts once, with all of its links, else menus outweigh the lines of words
     for i, (b, g) in enumerate(zip(found, good)):
@@ -339,7 +349,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         counts: dict[str, list[int]] = {}
         for html, markdown in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for features, good in _labelled(html, markdown):
-                for f in {"", *features}:
+                for f in {"", *features} if features[0] != "@" else features:
                     counts.setdefault(f, [0, 0])[not good] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[k][0] for k in keys], pa.int64()), pa.array([counts[k][1] for k in keys], pa.int64())], names=["feature", "good", "bad"])
@@ -352,9 +362,14 @@ def fit_odds(page_content: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[
     sample = both.where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("raw_html", "raw_markdown").limit(2 * sample_pages)
     counted = sample.mapInArrow(_feature_counts, "feature string, good bigint, bad bigint").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     rows = counted.where(F.col("good") + F.col("bad") >= LEAST_COUNT).collect()  # features of a bounded sample
-    total = next(((r.good, r.bad) for r in rows if r.feature == ""), (0, 0))
-    bound = lambda x: max(-WORD_ODDS, min(WORD_ODDS, x))
-    return {r.feature: bound(math.log((r.good + 0.5) / (total[0] + 1)) - math.log((r.bad + 0.5) / (total[1] + 1))) for r in rows if r.feature}
+    total = {r.feature: (r.good, r.bad) for r in rows if r.feature in ("", "@")}
+    odds: dict[str, float] = {}
+    for r in rows:
+        if r.feature not in total:
+            good, bad = total["@" if r.feature[0] == "@" else ""]
+            most = REGION_ODDS if r.feature[0] == "@" else WORD_ODDS
+            odds[r.feature] = max(-most, min(most, math.log((r.good + 0.5) / (good + 1)) - math.log((r.bad + 0.5) / (bad + 1))))
+    return odds
 
 
 _KEPT = "page_id bigint, lines array<int>, short boolean, forms array<string>, terms string"

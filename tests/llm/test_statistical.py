@@ -321,6 +321,36 @@ def test_every_word_and_every_line_is_judged():
     assert len(main_content.main_lines(None, "\n".join(["* " + good] * 20_000), odds)) == 20_000
 
 
+def test_the_classifier_moves_the_cut(make):
+    """Where words and DOM disagree: an advertisement inside the region of the text goes, a second region of text stays."""
+    rng = random.Random(30)
+    made = [page_fixture(i, rng) for i in range(80)]
+    advert = "Buy velour sofas cheaply now: subscribe, order, checkout, voucher, discount"
+    rows = [(i, h.replace("</body>", f"<aside><p>{advert}</p></aside></body>"), m + f"\n\n{advert}") for i, (h, m, _) in enumerate(made)]
+    html, text, main = made[0]
+    more = [say(rng, 60) for _ in range(2)]
+    odd = html.replace("</div><div class=c>", f"<p>{advert}</p></div><div class=more><p>{more[0]}</p><p>{more[1]}</p></div><div class=c>", 1)
+    lines = text.split("\n")
+    foot = next(i for i, x in enumerate(lines) if x.startswith("Our workshop"))
+    lines[foot:foot] = [advert, "", more[0], "", more[1], ""]
+    rows.append((900, odd, "\n".join(lines)))
+    got = {no for p, no in map(tuple, main_content.main_body(make(rows, CONTENT)).collect()) if p == 900}
+    assert foot not in got and {foot + 2, foot + 4} <= got and set(main) <= got
+    odds = main_content.fit_odds(make(rows, CONTENT))
+    assert odds["@h1 1"] > 0 > odds["@words 0"]
+
+
+def test_regions_below_any_wrapper_and_long_alike_beginnings():
+    inner = "<div class=a><ul><li><a href=/x>Menu</a></li></ul></div><div class=b><h1>T</h1><p>text</p></div>"
+    for depth in (0, 2, 9, 300):
+        tree = dom.leaves("<body>" + "<div>" * depth + inner + "</div>" * depth + "</body>")
+        assert [x.region for x in tree] == [0, 1, 1], depth
+    same = "alpha " * 40
+    tree = dom.leaves(f"<body><div><p>{same}one</p></div><div><p>{same}two</p></div></body>")
+    found = main_content.blocks(f"{same}two\n\n{same}one", {})
+    assert [leaf.region for leaf in main_content.place(found, tree)] == [1, 0]
+
+
 def test_short_bodies_are_kept_and_messages_are_not(make):
     rng = random.Random(20)
     made = [page_fixture(i, rng, error=i % 9 == 8) for i in range(60)]
