@@ -87,14 +87,11 @@ def canonical_status(declared: Column, request_url: Column, canonical_url: Colum
 
 def hreflang(html: Column) -> Column:
     """The (lang, href) pairs of alternate links, both not empty."""
-    groups = [_all(html, HREFLANG, k) for k in (1, 2, 3, 4)]
-    rows = F.arrays_zip(*[g.alias(f"g{k}") for k, g in enumerate(groups)])
-
-    def pair(r: Column) -> Column:
-        lang, href = (F.when(r[a] != "", r[a]).otherwise(r[b]) for a, b in (("g0", "g2"), ("g1", "g3")))
+    def pair(tag: Column) -> Column:
+        lang, href = (F.concat(F.regexp_extract(tag, HREFLANG, a), F.regexp_extract(tag, HREFLANG, b)) for a, b in ((1, 3), (2, 4)))
         return F.struct(F.trim(lang).alias("lang"), F.trim(href).alias("href"))
 
-    return F.filter(F.transform(rows, pair), lambda p: (p["lang"] != "") & (p["href"] != ""))
+    return F.filter(F.transform(_all(html, HREFLANG, 0), pair), lambda p: (p["lang"] != "") & (p["href"] != ""))
 
 
 def json_ld_entities(html: Column) -> Column:
@@ -238,8 +235,7 @@ def full_audit(html: Column, headers: Column, canonical_url: Column, markdown: C
 
 def anchor_hrefs(html: Column) -> Column:
     """The targets of all anchors, in order."""
-    groups = F.arrays_zip(*[_all(html, ANCHOR, k).alias(f"g{k}") for k in (1, 2, 3)])
-    return F.transform(groups, lambda g: F.coalesce(F.nullif(g["g1"], F.lit("")), F.nullif(g["g2"], F.lit("")), g["g3"]))
+    return F.transform(_all(html, ANCHOR, 0), lambda tag: F.concat(*[F.regexp_extract(tag, ANCHOR, k) for k in (1, 2, 3)]))  # one of the three; the page is scanned once
 
 
 def markdown_to_text(markdown: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.contacts import contact_of_href
 from tessera.functions.html import anchor_hrefs
 from tessera.functions.patterns import Rule, evaluate_link
-from tessera.functions.urls import canonicalize_url, fingerprint, is_inside, split_url, urljoin
+from tessera.functions.urls import canonicalize_url, fingerprint, is_inside, let, split_url, urljoin
 from tessera.session import cut
 
 BLOCKED_STATUS = (403, 429, 503)
@@ -59,43 +59,53 @@ def next_session(blocked: Column, session: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, at, href, url) of each anchor of pages (page_id, url, html), resolved against the page's address."""
+    """(page_id, base, at, href, url) of each anchor of pages (page_id, url, html), resolved against the page's address."""
     each = pages.select("page_id", F.col("url").alias("base"), F.posexplode(anchor_hrefs(F.col("html"))).alias("at", "href"))
-    return each.select("page_id", "base", "at", "href", urljoin(F.col("base"), F.col("href")).alias("url"))
+    return each.withColumn("url", urljoin(F.col("base"), F.col("href")))
+
+
+def numbered_links(pages: DataFrame) -> DataFrame:
+    """``page_links`` with ``again``, whether an earlier anchor of the page has the same address: neighbours of its sorted anchors show it, without a shuffle."""
+    hrefs = F.transform(anchor_hrefs(F.col("html")), lambda href, at: F.struct(urljoin(F.col("base"), href).alias("url"), at.alias("at"), href.alias("href")))
+
+    def marked(anchors: Column) -> Column:
+        return F.transform(anchors, lambda x, k: F.struct(x["at"].alias("at"), x["href"].alias("href"), x["url"].alias("url"), F.when(k > 0, x["url"].eqNullSafe(F.get(anchors, k - 1)["url"])).otherwise(False).alias("again")))
+
+    each = pages.select("page_id", F.col("url").alias("base"), "html").select("page_id", "base", F.explode(let(F.array_sort(hrefs), marked)).alias("a"))
+    return each.select("page_id", "base", "a.at", "a.href", "a.url", "a.again")
 
 
 def gate_links(links: DataFrame, domain: Column, include: list[Rule] = [], exclude: list[Rule] = [], origin: str | None = None, known: DataFrame | None = None) -> DataFrame:  # noqa: B006
-    """Links (page_id, at, href, url) with their reason: accepted is URL_DISCOVERED.
+    """Links (page_id, at, href, url, again) with their reason: accepted is URL_DISCOVERED.
 
     In order: a repeated address of the page, an address for mail or telephone, a scheme that isn't http, another
-    domain, a denied path, a URL rule, an address that is known or was discovered by an earlier link.
+    domain, a denied path, a URL rule, an address that is known or was discovered by an earlier link. Only links that pass all gates but the last have a canonical address;
+    they alone are compared with what is known, by one row for each address, and the discoverers are joined back by their place.
     """
-    links = links.withColumn("domain", domain).withColumn("canonical", canonicalize_url(F.col("url"))).withColumn("contact", contact_of_href(F.col("href")))
-    links = links.withColumns({"_parts": split_url(F.col("url")), "_excluded": evaluate_link(F.col("url"), origin, include, exclude)["decision"] == "excluded"})
-    links = cut(links)  # it is read four times below, and pages' HTML only once
-    # the first of a page's equal links: by partial aggregation, then a join on the page's own links
-    firsts = links.groupBy("page_id", "url").agg(F.min("at").alias("first_at"))
-    links = links.join(firsts, ["page_id", "url"])
     mail = F.lower(F.trim("href")).rlike("^(mailto|tel):")
-    reason = (
-        F.when(F.col("at") != F.col("first_at"), "PAGE_DUPLICATE")
-        .when(mail, F.when(F.col("contact").isNotNull(), "CONTACT").otherwise("INVALID_CONTACT"))
-        .when(~F.col("_parts.scheme").isin("http", "https"), "INVALID_SCHEME")
-        .when(~is_inside(F.col("_parts.host"), F.col("domain")), "OFFSITE_DOMAIN")
-        .when(is_denied(F.col("_parts.path")), "DENY_PATTERN")
-        .when(F.col("_excluded"), "URL_PATTERN_EXCLUDED")
-    )
-    gated = links.withColumn("reason", reason)
-    passed = gated.where("reason is null")
+    cheap = F.when(F.col("again"), "PAGE_DUPLICATE").when(mail, F.when(F.col("contact").isNotNull(), "CONTACT").otherwise("INVALID_CONTACT"))
+
+    def by_parts(p: Column) -> Column:
+        return (
+            F.when(~p["scheme"].isin("http", "https"), "INVALID_SCHEME")
+            .when(~is_inside(p["host"], F.col("domain")), "OFFSITE_DOMAIN")
+            .when(is_denied(p["path"]), "DENY_PATTERN")
+        )
+
+    rows = links.withColumn("domain", domain).withColumn("contact", F.when(mail, contact_of_href(F.col("href")))).withColumn("reason", cheap)
+    rows = rows.withColumn("reason", F.coalesce("reason", let(split_url(F.col("url")), by_parts)))
+    if include or exclude:
+        decision = evaluate_link(F.col("url"), origin, include, exclude)["decision"]
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(decision == "excluded", "URL_PATTERN_EXCLUDED")))
+    rows = rows.withColumn("canonical", F.when(F.col("reason").isNull(), canonicalize_url(F.col("url"))))
+    rows = cut(rows.select("page_id", "at", "href", "url", "canonical", "domain", "contact", "reason"))  # it is read three times below, and pages' HTML only once
+    passed = rows.where("reason is null")
     once = passed.groupBy("domain", "canonical").agg(F.min(F.struct("page_id", "at")).alias("by"))
     if known is not None:
-        once = once.join(known.select(F.col("canonical_url").alias("canonical"), F.lit(True).alias("was_known")).distinct(), "canonical", "left")
-    else:
-        once = once.withColumn("was_known", F.lit(None).cast("boolean"))
-    new = once.select("domain", "canonical", F.col("by.page_id").alias("by_page"), F.col("by.at").alias("by_at"), "was_known")
-    out = gated.join(new, ["domain", "canonical"], "left")
-    mine = (F.col("page_id") == F.col("by_page")) & (F.col("at") == F.col("by_at")) & F.col("was_known").isNull()
-    return out.select("page_id", "at", "href", "url", "canonical", "domain", "contact", F.coalesce("reason", F.when(mine, "URL_DISCOVERED").otherwise("DUPLICATE")).alias("reason"))
+        once = once.join(known.select(F.col("canonical_url").alias("canonical")).distinct(), "canonical", "left_anti")
+    new = once.select("by.page_id", "by.at", F.lit("URL_DISCOVERED").alias("_new"))
+    judged = passed.join(new, ["page_id", "at"], "left").withColumn("reason", F.coalesce("_new", F.lit("DUPLICATE"))).drop("_new")
+    return rows.where("reason is not null").unionByName(judged)
 
 
 def first_attempt(retry: Column, throttle: Column) -> Column:

@@ -87,7 +87,7 @@ def anchor_links(spark, sf_dir):
 def _gated(spark, sf_dir):
     html = table(spark, sf_dir, "page_content", "page_id", F.col("raw_html").alias("html")).where("html is not null")
     pages = html.join(table(spark, sf_dir, "pages", F.col("id").alias("page_id"), "url"), "page_id")
-    links = gates.page_links(pages)
+    links = gates.numbered_links(pages)
     return gates.gate_links(links, urls.host(F.col("base")), known=table(spark, sf_dir, "pages", "canonical_url"))
 
 

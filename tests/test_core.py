@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import contacts, html, patterns, payload, urls
-from tessera.operators import events, export, gates, jobs, merge, reads, rollup, rules, selection, tasks
+from tessera.operators import effects, events, export, gates, jobs, joins, merge, reads, rollup, rules, selection, tasks
 
 
 def one(spark, value, use, kind="string"):
@@ -226,13 +226,28 @@ def test_deletion_and_retention(make):
 def test_link_gates(make, spark):
     hrefs = ["/a", "/a", "mailto:jo@site.co", "ftp://h.example/x", "https://o.example/", "https://sub.h.example/x", "/blogger", "/a#f", "/known", "/new"]
     page = "".join(f'<a href="{h}">x</a>' for h in hrefs)
-    links = gates.page_links(make([(1, "https://h.example/", page), (2, "https://h.example/2", '<a href=/new>y</a>')], "page_id long, url string, html string"))
+    links = gates.numbered_links(make([(1, "https://h.example/", page), (2, "https://h.example/2", '<a href=/new>y</a>')], "page_id long, url string, html string"))
     got = gates.gate_links(links, F.lit("H.example:8080"), known=make([("https://h.example/known",)], "canonical_url string"))
     reasons = {(r.page_id, r.at): r.reason for r in got.collect()}
     assert [reasons[1, k] for k in range(10)] == ["URL_DISCOVERED", "PAGE_DUPLICATE", "CONTACT", "INVALID_SCHEME", "OFFSITE_DOMAIN", "URL_DISCOVERED", "DENY_PATTERN", "DUPLICATE", "DUPLICATE", "URL_DISCOVERED"]
     assert reasons[2, 0] == "DUPLICATE"
 
 
+def test_numbered_links_are_page_links_and_mark_repeats(make):
+    html = '<a href="/b">1</a><a href="/a">2</a><a href=b>3</a><a href="/a#x">4</a><a href="">5</a><a href="/a">6</a>'
+    pages = make([(1, "https://h.example/", html), (2, None, html), (3, "https://h.example/", None), (4, "https://h.example/", "<p>none</p>")], "page_id long, url string, html string")
+    plain = sorted(tuple(str(x) for x in r) for r in gates.page_links(pages).select("page_id", "at", "href", "url").collect())
+    got = gates.numbered_links(pages)
+    assert sorted(tuple(str(x) for x in r) for r in got.select("page_id", "at", "href", "url").collect()) == plain
+    assert sorted((r.at, r.again) for r in got.where("page_id = 1").collect()) == [(0, False), (1, False), (2, True), (3, False), (4, False), (5, True)]
+
+
+def test_a_hot_address_does_not_multiply_its_links(make, spark):
+    links = spark.range(0, 3000).selectExpr("id as page_id", "0 as at", "'/menu' as href", "'https://h.example/menu' as url", "false as again")
+    got = gates.gate_links(links, F.lit("h.example")).groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in got} == {"URL_DISCOVERED": 1, "DUPLICATE": 2999}
+
+
 @pytest.mark.parametrize("status,body,primary,want", [(403, "", True, True), (200, "Just a MOMENT", False, True), (200, '<div id="root"></div>', True, True), (200, '<div id="root"></div>', False, False), (200, "<p>" + "x" * 6000 + "</p>", True, False), (None, None, True, False)])
 def test_blocked(spark, status, body, primary, want):
     df = spark.createDataFrame([(status, body)], "s int, b string")
@@ -315,3 +330,77 @@ def test_jobs(make):
     assert {r.id: r.status for r in once.collect()} == {r.id: r.status for r in jobs.cancel(once, rows.select("id")).collect()} == {"a": "cancelled", "b": "completed", "c": "cancelled", "d": "cancelled"}
     crawls = make([("x", '{"alias": "n"}', "2024-01-01"), ("y", '{"crawl_id": "n"}', "2024-02-01"), ("z", None, None)], "id string, config string, started_at string")
     assert jobs.find_crawl(crawls, "n").first().id == "y" and jobs.find_crawl(crawls, "none").count() == 0
+
+
+# -- effects of messages, control, reads ---------------------------------------------------------------
+
+
+def test_effects_of_messages_with_nulls_and_empty_tables(make):
+    drops = make([("c", "s", "https://H.example/a/", None, "", None, None, 1), ("c", None, None, "GATE", "rule", "excluded", "", 2), ("c", "s", "https://h.example/b", "GATE", "", "excluded", "r", 3)], "crawl_id string, source_url string, target_url string, drop_reason string, pattern_reason string, inventory_status string, matched_rule_id string, seq long")
+    assert [r.drop_reason for r in effects.dropped_links(drops).orderBy("seq").collect()] == ["UNKNOWN", "GATE", "GATE"]
+    rows = {r.seq: (r.normalized_url, r.exclusion_reason, r.matched_rule_id) for r in effects.inventory_of_drops(drops).collect()}
+    assert rows == {2: (None, "rule", None), 3: ("https://h.example/b", "GATE", "r")}
+    assert effects.inventory_of_drops(drops.limit(0)).count() == effects.dropped_links(drops.limit(0)).count() == 0
+    dead = make([("c", "https://h.example/x", None, 1), ("c", None, "why", 2)], "crawl_id string, url string, dlq_reason string, seq long")
+    assert [r.dlq_reason for r in effects.dead_letter_rows(dead).orderBy("seq").collect()] == ["unknown_error", "why"]
+    assert [r.exclusion_reason for r in effects.inventory_of_dead(dead).collect()] == ["failed"]
+    crawls = make([("c", 3, "completed", "h.example"), ("d", None, "queued", "i.example")], "id string, pages_failed int, status string, target_domain string")
+    assert {r.id: r.pages_failed for r in effects.count_failed(crawls, dead).collect()} == {"c": 5, "d": 0}
+    after, tasks_again, left = effects.retry_failed(crawls, dead.withColumn("retry_count", F.lit("3")), make([("c",), ("c",)], "id string"))
+    assert {r.id: (r.status, r.pages_failed) for r in after.collect()} == {"c": ("running", 1), "d": ("queued", None)}
+    assert [(r.retry_count, r.domain) for r in tasks_again.collect()] == [("0", "h.example")] * 2 and left.count() == 0
+
+
+def test_control_ignores_what_does_not_apply(make):
+    crawls = make([("a", "queued"), ("b", "completed"), ("c", "paused"), ("d", None)], "id string, status string")
+    asked = make([("a", "pause", 1), ("a", "resume", 2), ("a", "cancel", 3), ("a", "resume", 4), ("b", "cancel", 1), ("c", "pause", 1), ("c", "nonsense", 2), ("d", "pause", 1)], "id string, action string, seq long")
+    assert {r.id: r.status for r in effects.control(crawls, asked).collect()} == {"a": "cancelled", "b": "completed", "c": "paused", "d": None}
+    busy = make([("a",)], "crawl_id string")
+    assert [r.id for r in effects.drained(make([("a", "running"), ("b", "running"), ("c", "paused")], "id string, status string"), busy, busy.limit(0)).collect()] == ["b"]
+
+
+def test_dump_range_and_lines(make, spark, tmp_path):
+    stream = make([("9-0", "{\"a\":1}", "x"), ("10-2", "[", "y"), ("10-10", None, "z"), (None, "q", "w")], "message_id string, metadata string, name string")
+    assert [r._message_id for r in export.range_scan(stream).collect()] == ["9-0", "10-2", "10-10"]
+    assert [r._message_id for r in export.range_scan(stream, "10-1", 1).collect()] == ["10-2"]
+    left = export.dump(stream, f"file://{tmp_path}/dump", ["metadata"], f"file://{tmp_path}/left")
+    assert [r.name for r in left.collect()] == ["w"]
+    assert spark.read.json(f"file://{tmp_path}/dump").count() == 4
+    export.write_jsonl(stream, f"file://{tmp_path}/log")
+    export.write_jsonl(stream, f"file://{tmp_path}/log")
+    assert spark.read.json(f"file://{tmp_path}/log").count() == 8
+
+
+def test_preview_logs_end_once(make):
+    rows = make([(1, "u", "included", "r", None, "available", "p", None, False), (2, "v", "outside_scope", "o", None, "unavailable", "p", None, False), (3, "w", "included", "r", "x", "available", "q", "lost", True), (4, "w", "included", "r", "x", "available", "s", None, True)], "id long, normalized_url string, decision string, reason string, rule_id string, content_status string, job string, error string, cancelled boolean")
+    log = selection.preview_log(rows, F.col("job"), F.col("error"), F.col("cancelled"))
+    ends = {r.preview_id: r.event_type for r in log.where("seq > 100").collect()}
+    assert ends == {"p": "preview.completed", "q": "preview.failed", "s": "preview.cancelled"}
+    assert [r.event_type for r in selection.preview_replay(log, "p").collect()] == ["preview.started", "url.evaluated", "url.evaluated", "preview.completed"]
+    assert [r.seq for r in selection.preview_replay(log, "p", 1).collect()][:1] == [2]
+
+
+def test_iso_time(spark):
+    rows = spark.sql("select timestamp '2026-01-02 03:04:05' as a, timestamp '2026-01-02 03:04:05.000600' as b, cast(null as timestamp) as c")
+    assert tuple(rows.select(*[reads.iso_time(F.col(c)) for c in "abc"]).first()) == ("2026-01-02T03:04:05+00:00", "2026-01-02T03:04:05.000600+00:00", None)
+
+
+def test_published_results(spark):
+    none = F.expr("cast(array() as array<string>)")
+    rows = spark.sql("select * from values (1, ' \n', null), (2, 'x', null), (3, null, '{}') as t(id, text, metadata)")
+    kept = rows.where(payload.is_published(none, F.lit(None).cast("string"), F.col("text"), F.col("metadata"))).select("id", payload.published_markdown(F.lit("https://h.example"), F.col("text")).alias("text"))
+    assert {r.id: r.text for r in kept.collect()} == {2: "x", 3: "# https://h.example\n\n*Client-rendered page or empty DOM body.*"}
+
+
+def test_pairs_in_blocks(make, spark):
+    rows = spark.range(0, 40).selectExpr("id", "id % 3 as g")
+    sizes = rows.groupBy("g").count().withColumnRenamed("count", "m")
+    got = sorted((r.id, r.id_2) for r in joins.pair_up(rows, sizes, ["g"], "id", ["id"], 4).collect())
+    assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 3 == b % 3]
+    assert joins.pair_up(rows.limit(0), sizes, ["g"], "id", ["id"]).count() == 0
+
+
+def test_headers_by_name_or_label(spark):
+    page = spark.sql("select 1 as id, 'c' as crawl_id, 'u' as url, 200 as status_code, named_struct('security', named_struct('missing_headers', array('HSTS', 'Content-Security-Policy', 'x-frame-options'))) as metadata")
+    got = {r.rule_id for r in rules.evaluate_findings(page).where("category = 'security'").collect()}
+    assert got == {"security.missing_hsts", "security.missing_csp", "security.missing_x_frame"}
