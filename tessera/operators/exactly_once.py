@@ -186,7 +186,7 @@ class MessageStore:
         try:
             # rebalanced at run time: a day with very many messages is split, days with few share a task
             winners.hint("rebalance", PARTITION).write.partitionBy(PARTITION).parquet(folder)
-            written = self.spark.read.option("basePath", folder).parquet(folder).withColumn(PARTITION, F.col(PARTITION).cast("string"))
+            written = self.spark.read.schema(winners.schema).option("basePath", folder).parquet(folder)
             # entries of what the batch brought in; what was kept before has its own
             entries = written.where(F.col(NEW) == 1).select(self._key_hash().alias("key"), PARTITION).where("key is not null")
             full = [str(b) for b in buckets if len(manifest["index"].get(str(b), [])) >= MOST_RUNS]
@@ -210,7 +210,7 @@ class MessageStore:
         return rows.where(keyed).select(*KEY, self.order).join(kept_now, [*same, F.col(self.order).eqNullSafe(F.col("__tessera_order"))], "left_anti")
 
 
-def repeated_deliveries(messages: DataFrame, store: MessageStore, batches: int = 3) -> DataFrame:
+def repeated_deliveries(messages: DataFrame, store: MessageStore, batches: int = 2) -> DataFrame:
     """(delivery_id) of each row that a store drops when the messages arrive in ``batches`` portions, in order.
 
     The portions are cut by batch_no, at equal parts of its range; rows without batch_no come first. Ties in

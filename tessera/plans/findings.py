@@ -75,8 +75,9 @@ def page_samples(spark, sf_dir):
 
 def page_details(spark, sf_dir):
     nested = reads.page_details(pages(spark, sf_dir), findings(spark, sf_dir), table(spark, sf_dir, "page_contacts"))
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return nested.select("id", n("findings").alias("findings"), n("contacts").alias("contacts"))
+    found = F.array_join(F.transform("findings", lambda f: f["finding_id"]), ",")
+    known = F.array_join(F.array_sort(F.transform("contacts", lambda c: F.concat(c["kind"], F.lit(":"), c["value"]))), "|")
+    return nested.select("id", F.coalesce(found, F.lit("")).alias("findings"), F.coalesce(known, F.lit("")).alias("contacts"))
 
 
 def finding_lookup(spark, sf_dir):
@@ -152,7 +153,7 @@ ORACLE = {
     "pages_without_findings": FINDINGS_SQL + "SELECT id, crawl_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.page_id = p.id AND f.severity = 'critical')",
     "page_severity_counts": FINDINGS_SQL + "SELECT p.id, p.crawl_id, count(f.id) AS findings, count(*) FILTER (f.severity = 'critical') AS critical, count(*) FILTER (f.severity = 'warning') AS warning, count(*) FILTER (f.severity = 'info') AS info FROM pages p LEFT JOIN findings f ON f.page_id = p.id GROUP BY p.id, p.crawl_id",
     "page_samples": FINDINGS_SQL + "SELECT p.id, s.rules FROM pages p LEFT JOIN (SELECT page_id, string_agg(rule_id, ',' ORDER BY id) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY id) AS rn FROM findings) WHERE rn <= 5 GROUP BY page_id) s ON s.page_id = p.id",
-    "page_details": FINDINGS_SQL + "SELECT p.id, (SELECT count(*) FROM findings f WHERE f.page_id = p.id) AS findings, (SELECT count(*) FROM (SELECT DISTINCT kind, value FROM page_contacts c WHERE c.page_id = p.id)) AS contacts FROM pages p",
+    "page_details": FINDINGS_SQL + "SELECT p.id, coalesce((SELECT string_agg(f.id, ',' ORDER BY f.id) FROM findings f WHERE f.page_id = p.id), '') AS findings, coalesce((SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT kind || ':' || value AS x, kind, value FROM page_contacts c WHERE c.page_id = p.id)), '') AS contacts FROM pages p",
     "finding_lookup": FINDINGS_SQL + "SELECT id, crawl_id, explanation FROM findings WHERE rule_id = 'seo.thin_content'",
     "report_lines": FINDINGS_SQL + "SELECT crawl_id, severity, id, '- [' || severity || '] ' || rule_id || ': ' || coalesce(url, '') AS line FROM findings WHERE crawl_id IN (SELECT id FROM crawls)",
     "report_metrics": FINDINGS_SQL + "SELECT crawl_id, count(*) AS total, count(DISTINCT rule_id) AS rules FROM findings GROUP BY crawl_id",

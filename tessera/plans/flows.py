@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import payload as P
 from tessera.operators import events, gates, merge, tasks
+from tessera.plans.urls import _sql
 from tessera.session import scratch
 from tessera.sources.tables import table
 from tessera.streaming import ingest
@@ -212,7 +213,16 @@ _LIST = "coalesce(CAST(json_extract({j}, '$.{k}') AS VARCHAR[]), [])"
 _DECODED = f"SELECT *, {_LIST.format(j=_CONT, k='emails')} AS emails, {_LIST.format(j=_CONT, k='phones')} AS phones FROM result_messages"
 _CONTACTS = f"SELECT crawl_id, url, 'email' AS kind, unnest(emails) AS value FROM ({_DECODED}) UNION ALL SELECT crawl_id, url, 'phone', unnest(phones) FROM ({_DECODED})"
 _LOG = "SELECT event_id AS id, 'c' || (user_id % 5) AS crawl_id, CASE WHEN event_id % 9 = 0 THEN event_type || ' !' ELSE event_type END AS event_type, props AS payload, ts AS created_at FROM events"
+_FP = _sql("url")["canonical"]
 ORACLE = {
+    "task_gates": f"""WITH t AS (SELECT delivery_id AS seq, crawl_id, coalesce(url, '') AS url, coalesce(domain, '') AS domain, coalesce(TRY_CAST(depth AS INTEGER), 0) AS depth, {_RETRY} = 0 AS fresh, {_FP} AS address FROM result_messages),
+v AS (SELECT DISTINCT crawl_id, {_FP} AS address FROM pages WHERE status_code <> 200),
+e AS (SELECT t.*, CASE WHEN t.url = '' OR domain = '' THEN 'MALFORMED' WHEN v.address IS NOT NULL THEN 'VISITED' END AS early FROM t LEFT JOIN v ON v.crawl_id = t.crawl_id AND v.address = t.address),
+h AS (SELECT *, min(seq) FILTER (early IS NULL) OVER (PARTITION BY crawl_id, address) AS head FROM e),
+o AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN seq <> head THEN 'IN_FLIGHT' WHEN depth > 3 THEN 'MAX_DEPTH_REACHED' END AS outcome FROM h),
+n AS (SELECT *, CASE WHEN outcome IS NULL AND fresh THEN sum((outcome IS NULL AND fresh)::INTEGER) OVER (PARTITION BY crawl_id ORDER BY seq) END AS c FROM o)
+SELECT seq, coalesce(outcome, CASE WHEN c > 20 THEN 'BUDGET_EXHAUSTED' ELSE 'ACCEPTED' END) AS outcome, CAST(c AS BIGINT) AS ticket FROM n""",
+    "payload_offload": "SELECT page_id, CASE WHEN strlen(json_object('html', repeat(raw_html, 3))::VARCHAR) > 16384 THEN 'hyd_' || page_id END AS file_id FROM page_content WHERE raw_html IS NOT NULL",
     "budget_tickets": f"WITH t AS (SELECT delivery_id AS seq, crawl_id, {_RETRY} = 0 AS pays FROM result_messages), n AS (SELECT *, sum(pays::INTEGER) OVER (PARTITION BY crawl_id ORDER BY seq) AS c FROM t) SELECT seq, CASE WHEN pays THEN CAST(c AS BIGINT) END AS ticket, CASE WHEN pays THEN c <= 50 END AS accepted FROM n",
     "domain_slots": "SELECT delivery_id AS seq, rn <= 5 AS granted, CASE WHEN rn <= 5 THEN 0 ELSE 1 END AS throttle_count FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY delivery_id) AS rn FROM result_messages WHERE domain IS NOT NULL)",
     "retry_routes": f"SELECT delivery_id AS seq, CASE WHEN {_RETRY} >= 3 THEN 'dlq' ELSE 'retry' END AS route, CASE WHEN {_RETRY} >= 3 THEN {_RETRY} ELSE {_RETRY} + 1 END AS retry_count FROM result_messages",
