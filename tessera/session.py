@@ -71,4 +71,4 @@ def bound_batches(spark: SparkSession) -> None:
     The bound is the same for all operators, so it doesn't matter which of them ran last, and very long texts travel alone.
     """
     if BATCH_BYTES not in spark.conf.getAll:
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
+        spark.conf.set(BATCH_BYTES, str(2 << 20))
