@@ -13,8 +13,8 @@ PHONE = r"(?:(?:\+|00)\d{1,3}[-.\s]?)?(?:\(?\d{1,4}\)?[-.\s]?)?\d{3,4}[-.\s]?\d{
 ASSET_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "bmp", "tiff", "woff", "woff2", "ttf", "eot", "otf", "css", "js", "json", "xml", "map", "ts", "mp4", "webm", "mp3", "wav", "pdf", "zip", "gz", "tar")
 PLACEHOLDER_DOMAINS = ("example.com", "example.org", "example.net", "domain.com", "yourdomain.com", "yoursite.com", "test.com", "localhost", "local", "sentry.io", "ingest.sentry.io", "w3.org")
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-DATE = r"^(\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})$"
-TIME = r"^\d{1,2}:\d{2}(:\d{2})?$"
+#: How many digits stand between the marks of a date, and of a time.
+DATE_PARTS, TIME_PARTS = ("4-2-2", "2-2-4"), ("1-2", "2-2", "1-2-2", "2-2-2")
 ADDRESS = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 RISING, FALLING = "01234567890123456789", "98765432109876543210"
 
@@ -61,11 +61,16 @@ def validate_phone(phone: Column) -> Column:
     return let(let(_strip(_unquote(phone), r".,;:<>\"'#*"), lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, r"(?U)\D", "").alias("digits"))), lambda x: _phone(x["raw"], x["digits"]))
 
 
+def _parted(raw: Column, marks: str, sizes: tuple[str, ...]) -> Column:
+    """Whether a text is digits parted by single marks, so many of them in each part."""
+    return raw.rlike(f"^[0-9{marks}]+$") & F.array_join(F.transform(F.split(raw, f"[{marks}]"), lambda part: F.length(part).cast("string")), "-").isin(*sizes)
+
+
 def _phone(raw: Column, digits: Column) -> Column:
     n = F.length(digits)
     good = (
-        ~raw.rlike(DATE)
-        & ~raw.rlike(TIME)
+        ~_parted(raw, "./-", DATE_PARTS)
+        & ~_parted(raw, ":", TIME_PARTS)
         & ~raw.rlike(ADDRESS)
         & n.between(7, 15)
         & ~digits.rlike(r"^(\d)\1*$")

@@ -202,7 +202,7 @@ def json_strings(text: Column) -> Column:
 
 
 def offloaded(payload: Column, file_id: Column) -> Column:
-    """A payload, or where it is larger than OFFLOAD_BYTES a pointer to the file that holds it."""
+    """A payload, or where it is larger than OFFLOAD_BYTES a pointer to the file that holds it; the pointer's keys are fixed values."""
     size = F.octet_length(payload)
     pointer = F.to_json(F.struct(file_id.alias("_appwrite_file_id"), size.alias("_byte_size"), F.lit(True).alias("offloaded")))
     return F.when(size > OFFLOAD_BYTES, pointer).otherwise(payload)

@@ -27,7 +27,7 @@ def window(log: DataFrame) -> DataFrame:
 
 
 def parse_cursor(text: str | None) -> int | None:
-    """A cursor of a client; raises ValueError for anything but a non-negative integer."""
+    """A cursor of a client; raises ValueError for anything but a non-negative integer. Messages and frames here and below are fixed values."""
     if not text:
         return None
     try:

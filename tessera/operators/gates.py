@@ -37,7 +37,7 @@ def is_denied(p: Column) -> Column:
 
 
 def is_spa_skeleton(body: Column) -> Column:
-    """Whether a body, in lower case, is the empty frame of a page that scripts fill."""
+    """Whether a body, in lower case, is the empty frame of a page that scripts fill; the strings are fixed values."""
     has = body.contains
     no_links = ~has("<a ")
     frame = has('<div id="root"></div>') | has('<div id="root"> </div>') | (has('<div id="root">') & no_links) | has('<div id="app"></div>') | has('<div id="__next"></div>')

@@ -251,7 +251,7 @@ def _valid_email(x: str) -> str:
 def _valid_phone(x: str) -> str:
     raw = rf"regexp_replace({_bare(x)}, '^[.,;:<>\"''#*]+|[.,;:<>\"''#*]+$', '', 'g')"
     digits = rf"regexp_replace({raw}, '[^0-9]', '', 'g')"
-    return rf"(CASE WHEN NOT regexp_matches({raw}, '{C.DATE}') AND NOT regexp_matches({raw}, '{C.TIME}') AND NOT regexp_matches({raw}, '{C.ADDRESS}') AND length({digits}) BETWEEN 7 AND 15 AND length(replace({digits}, {digits}[1], '')) > 0 AND NOT contains('{C.RISING}', {digits}) AND NOT contains('{C.FALLING}', {digits}) AND regexp_matches({raw}, '^[+]|{_BLANK}|[().-]') AND NOT (length({digits}) IN (10, 13) AND regexp_matches({digits}, '^1[5-9]') AND NOT starts_with({raw}, '+')) THEN {_bare(rf"regexp_replace({raw}, '({_BLANK}|[.-])+', ' ', 'g')")} END)"
+    return rf"(CASE WHEN NOT regexp_matches({raw}, '^([0-9]{{4}}[-/.][0-9]{{2}}[-/.][0-9]{{2}}|[0-9]{{2}}[-/.][0-9]{{2}}[-/.][0-9]{{4}}|[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)$') AND NOT regexp_matches({raw}, '{C.ADDRESS}') AND length({digits}) BETWEEN 7 AND 15 AND length(replace({digits}, {digits}[1], '')) > 0 AND NOT contains('{C.RISING}', {digits}) AND NOT contains('{C.FALLING}', {digits}) AND regexp_matches({raw}, '^[+]|{_BLANK}|[().-]') AND NOT (length({digits}) IN (10, 13) AND regexp_matches({digits}, '^1[5-9]') AND NOT starts_with({raw}, '+')) THEN {_bare(rf"regexp_replace({raw}, '({_BLANK}|[.-])+', ' ', 'g')")} END)"
 
 
 def _contacts_sql(relation: str, key: str, column: str) -> str:
