@@ -9,10 +9,13 @@ occurrence; blocks that span enough pages are deleted wherever they occur. Every
 block, of one line at least, so the blocks decide.
 
 A source with more lines than an array should have is cut into chunks by page. Chunks hold different pages, so what the first
-lines of their suffixes have in pages adds up exactly, and so the lines of such a source are deleted by it; of its longer blocks
-each chunk reports those it finds, and ``repeated_blocks`` adds them up, so that it may count a page too few where a chunk has a
-block only as a part of a longer one. The identifiers carry the source, so small sources share an array. Lines are taken as
-equal when 64-bit hashes within one source are.
+lines of their suffixes have in pages adds up exactly, and so the lines of such a source are deleted by it. Longer blocks don't add
+up, since a chunk may have a block only as a part of a longer one. So the suffixes of such a source are brought together by their
+first line instead, whatever page they are of, sorted by their next lines and read once in that order, which gives the same intervals as
+one array over all its pages. Only lines on enough pages are kept for it, as no other can lie in a block, and a suffix ends where
+one was left out. It shows a number of lines at first; where these are shared and more follow, suffixes are brought together again
+by all lines so far and show twice as many. A line that follows itself is shown once with its number. The identifiers carry the source, so small sources share an array. Lines are taken as
+equal when 64-bit hashes within one source are, and the lines so far when a 64-bit hash of them is.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from tessera.session import bound_batches, cut
 LEAST_PAGES, LEAST_CHARS = 6, 8
 #: Lines of one suffix array, about: a source with more is cut into chunks, smaller ones share an array.
 ARRAY_LINES = 200_000
+#: Lines that a suffix of a larger source shows at first, and identifiers sent or compared at once there. Results don't depend on them.
+WINDOW, AT_ONCE = 16, 1 << 20
 
 
 def line_form(line: Column) -> Column:
@@ -119,6 +124,16 @@ def intervals(common: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 4)
 
 
+def block_keys(ids: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the ``lengths`` lines from each place on, the same wherever they stand."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    n = len(ids)
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, dtype=np.uint64)])
+    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(int(base), -1, 1 << 64), dtype=np.uint64)])
+    upto = np.r_[np.uint64(0), np.cumsum(mix(ids.view(np.uint64)) * power[:n], dtype=np.uint64)]
+    return mix((upto[at + lengths] - upto[at]) * back[at] + lengths.astype(np.uint64)).view(np.int64)
+
+
 class Lines:
     """The suffix array of pages' line identifiers: ``ids`` without 0, and the page index of each, in page order."""
 
@@ -160,14 +175,8 @@ class Lines:
         return self.ids[self.order[first]], np.bincount(pairs // pages, minlength=len(first))
 
     def keys(self, blocks: np.ndarray) -> np.ndarray:
-        """A hash of each block's lines, the same in every chunk."""
-        base = np.uint64(0x9E3779B97F4A7C15)
-        n = len(self.ids)
-        power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, dtype=np.uint64)])
-        back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(int(base), -1, 1 << 64), dtype=np.uint64)])
-        upto = np.r_[np.uint64(0), np.cumsum(mix(self.ids.view(np.uint64)) * power[:n], dtype=np.uint64)]
-        at = self.order[blocks[:, 1]]
-        return mix((upto[at + blocks[:, 0]] - upto[at]) * back[at] + blocks[:, 0].astype(np.uint64)).view(np.int64)
+        """A hash of each block's lines, the same in every array."""
+        return block_keys(self.ids, self.order[blocks[:, 1]], blocks[:, 0])
 
 
 def _arrays(report: Callable[[Lines, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]):
@@ -227,11 +236,193 @@ def _report_blocks(least: int):
     def report(array: Lines, site: np.ndarray, page: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
         found = array.blocks(least)
         at = np.array([array.order[a : b + 1].min() for _, a, b, _ in found.tolist()], dtype=np.int64)  # the first occurrence
-        return [site[at], array.keys(found), found[:, 0], found[:, 3], page[at], number[at]]
+        return [site[at], page[at], number[at], found[:, 0], found[:, 3]]
 
     return report
 
 
+class Starts:
+    """Suffixes of a batch of pages (site, page_id, i, line_no, line, at): those at ``at`` that have more than ``depth`` lines.
+
+    ``i`` numbers a page's lines as they were before some were left out: a suffix ends where it jumps, and at the page's end.
+    ``key`` is a hash of the first ``depth`` + 1 lines.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, depth: int) -> None:
+        site, page = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        i, number, self.lines, at = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2, 6))
+        offsets, marks = batch.column(2).offsets.to_numpy().astype(np.int64), batch.column(5).offsets.to_numpy()
+        index = np.repeat(np.arange(len(page)), np.diff(offsets))
+        breaks = np.r_[True, (index[1:] != index[:-1]) | (i[1:] != i[:-1] + 1)][: len(i)]
+        end = np.r_[np.flatnonzero(breaks)[1:], len(i)][np.cumsum(breaks) - 1]
+        heads = breaks | np.r_[True, self.lines[1:] != self.lines[:-1]][: len(i)]
+        self.heads, self.stretch = np.r_[np.flatnonzero(heads), len(i)], np.cumsum(heads) - 1  # stretches of one line that follows itself
+        at = at + np.repeat(offsets[:-1] - offsets[0], np.diff(marks))
+        at = at[end[at] - at > depth]
+        self.at, self.end, self.own = at, end[at], at - (offsets[:-1] - offsets[0])[index[at]]
+        self.site, self.page, self.number = site[index[at]], page[index[at]], number[at]
+        self.key = block_keys(self.lines, at, np.full(len(at), depth + 1)) if depth else self.lines[at]
+        self.before = pa.array(self.lines[at - 1], mask=breaks[at])
+        order = np.lexsort((self.key, index[at]))
+        same = (index[at][order][1:] == index[at][order][:-1]) & (self.key[order][1:] == self.key[order][:-1])
+        self.first, self.again = np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+        self.first[order[1:]] = ~same
+        self.again[order] = np.r_[same, False][: len(at)] | np.r_[False, same][: len(at)]
+
+
+def _keys(depth: int):
+    """(site, key, page_id, at, before, first) of each suffix; ``first`` is 1 for one of those that a page has of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = Starts(batch, depth)
+            columns = [x.site, x.key, x.page, x.own.astype(np.int32), x.before, x.first.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["site", "key", "page_id", "at", "before", "first"])
+
+    return run
+
+
+def _windows(depth: int, width: int, at_once: int):
+    """(site, key, page_id, line_no, before, again, lines) of each suffix, with the up to ``width`` lines after those of the key.
+
+    ``lines`` has each line and how often it follows itself, in turn; a common beginning is still shared by neighbours in its order. ``again`` tells that the page has more suffixes with that key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = Starts(batch, depth)
+            start = x.at + depth + 1
+            stop = np.minimum(x.end, start + width)
+            head = x.stretch[np.minimum(start, len(x.lines) - 1)]
+            upto = np.r_[0, np.cumsum(np.where(stop > start, x.stretch[stop - 1] - head + 1, 0))]
+            a = 0
+            while a < len(start):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + at_once, side="right")) - 1)
+                offsets = upto[a : b + 1] - upto[a]
+                of = np.repeat(np.arange(a, b), np.diff(offsets))
+                each = head[of] + np.arange(offsets[-1]) - offsets[of - a]
+                times = np.minimum(x.heads[each + 1], stop[of]) - np.maximum(x.heads[each], start[of])
+                taken = np.column_stack((x.lines[x.heads[each]], times)).ravel()
+                columns = [pa.array(c[a:b]) for c in (x.site, x.key, x.page, x.number)] + [x.before[a:b], pa.array(x.again[a:b])]
+                columns.append(pa.ListArray.from_arrays(pa.array((2 * offsets).astype(np.int32)), pa.array(taken)))
+                yield pa.RecordBatch.from_arrays(columns, names=["site", "key", "page_id", "line_no", "before", "again", "lines"])
+                a = b
+
+    return run
+
+
+def common_lines(rows: list[np.ndarray], at_once: int) -> np.ndarray:
+    """How many lines each row but the first, of lines and how often they follow themselves, has in common with the row before."""
+    lengths = np.array([len(r) for r in rows])
+    step = max(1, at_once // max(1, int(lengths.max())))
+    out = []
+    for a in range(0, len(rows) - 1, step):
+        some, n = rows[a : a + step + 1], lengths[a : a + step + 1]
+        width = int(n.max())
+        table = np.zeros((len(some), width + 1), dtype=np.int64)
+        table[np.arange(width + 1) < n[:, None]] = np.concatenate(some)
+        differ = table[1:] != table[:-1]
+        differ[:, width] = True
+        k = np.arange(len(some) - 1)
+        at = np.minimum(differ.argmax(axis=1), np.minimum(n[1:], n[:-1]))
+        whole = np.c_[np.zeros(len(k), dtype=np.int64), np.cumsum(table[1:, 1:width:2], axis=1)][k, at // 2]
+        out.append(whole + np.where(at % 2 == 1, np.minimum(table[1:][k, at], table[:-1][k, at]), 0))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+class OpenIntervals:
+    """``intervals`` of one key over sorted suffixes that come one by one, with the line before and the first place of each.
+
+    A line before is None where there is none or they differ. Holds the open intervals, and pages only of suffixes that have the key again.
+    """
+
+    def __init__(self, least: int, report: Callable[[int, int, tuple], None]) -> None:
+        self.least, self.report = least, report
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen = 0
+        self.depths, self.lefts, self.counts, self.befores, self.places = [0], [0], [0], [None], [()]
+        self.last: dict = {}
+
+    def close(self, depth: int) -> None:
+        """The last suffix has ``depth`` lines in common with the next one; intervals of more end with it."""
+        n, left, before, place = 1, self.seen - 1, self.before, self.place
+        while self.depths[-1] > depth:
+            d, left = self.depths.pop(), self.lefts.pop()
+            n += self.counts.pop()
+            if (other := self.befores.pop()) != before:
+                before = None
+            place = min(place, self.places.pop())
+            if n >= self.least and before is None:
+                self.report(d, n, place)
+        if not depth:
+            self.clear()
+        elif self.depths[-1] == depth:
+            self.counts[-1] += n
+            if self.befores[-1] != before:
+                self.befores[-1] = None
+            self.places[-1] = min(self.places[-1], place)
+        else:
+            for of, x in zip((self.depths, self.lefts, self.counts, self.befores, self.places), (depth, left, n, before, place)):
+                of.append(x)
+
+    def add(self, depth: int, before: int | None, place: tuple, again: bool) -> None:
+        """``depth`` is what the suffix has in common with the last one, 0 for another key."""
+        if self.seen:
+            self.close(depth)
+        if again:
+            if (page := self.last.get(place[0])) is not None:
+                self.counts[bisect_right(self.lefts, page) - 1] -= 1
+            self.last[place[0]] = self.seen
+        self.before, self.place = before, place
+        self.seen += 1
+
+
+def _sorted_blocks(depth: int, width: int, least: int, at_once: int):
+    """Blocks of more than ``depth`` and at most ``depth`` + ``width`` lines, from the rows of ``_windows`` in order of site, key and lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        site = key = None
+
+        def report(d: int, n: int, place: tuple) -> None:
+            if d <= width:  # longer ones show as blocks of the next depth
+                out.append((site, *place, depth + d, n))
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["site", "page_id", "line_no", "n_lines", "n_pages"])
+
+        opened = OpenIntervals(least, report)
+        last = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat, offsets = batch.column(6).flatten().to_numpy(zero_copy_only=False), batch.column(6).offsets.to_numpy()
+            rows = [last, *np.split(flat, offsets[1:-1] - offsets[0])]
+            common = common_lines(rows, at_once).tolist()
+            last = rows[-1].copy()
+            for s, k, page, number, before, again, c in zip(*(batch.column(k).to_pylist() for k in range(6)), common):
+                depth_here = 1 + c if s == site and k == key else 0
+                if not depth_here and opened.seen:
+                    opened.close(0)
+                site, key = s, k
+                opened.add(depth_here, before, (page, number), again)
+            if out:
+                yield taken()
+        if opened.seen:
+            opened.close(0)
+        yield taken()
+
+    return run
+
+
 def page_lines(page_content: DataFrame, pages: DataFrame, crawls: DataFrame) -> DataFrame:
     """(page_id, source, ids) of each page that has Markdown and a source, the crawl's domain in lower case."""
     domains = crawls.select(F.col("id").alias("crawl_id"), F.lower("target_domain").alias("source"))
@@ -266,10 +457,36 @@ def repeated_lines(page_content: DataFrame, pages: DataFrame, crawls: DataFrame,
     """
     small, large = _chunked(page_content, pages, crawls, least_pages)
     found = _together(small).mapInArrow(_arrays(_report_lines(least_pages), ["page_id", "line_no"]), "page_id bigint, line_no int")
+    each = large.select("page_id", "site", F.posexplode("ids").alias("line_no", "line")).where("line != 0")
+    return found.unionByName(_on_enough_pages(each, large, least_pages).select("page_id", "line_no"))
+
+
+def _on_enough_pages(each: DataFrame, large: DataFrame, least_pages: int) -> DataFrame:
+    """The rows (site, line) of ``each`` whose line stands on enough pages of its source."""
     counts = _together(large).mapInArrow(_arrays(_report_counts, ["site", "line", "n_pages"]), "site bigint, line bigint, n_pages bigint")
     repeated = counts.groupBy("site", "line").agg(F.sum("n_pages").alias("n_pages")).where(F.col("n_pages") >= least_pages).select("site", "line")
-    each = large.select("page_id", "site", F.posexplode("ids").alias("line_no", "line")).where("line != 0")
-    return found.unionByName(split_join(each, repeated, ["site", "line"], "left_semi").select("page_id", "line_no"))
+    return split_join(each, repeated, ["site", "line"], "left_semi")
+
+
+def _blocks_of_large(large: DataFrame, least_pages: int) -> list[DataFrame]:
+    """(site, page_id, line_no, n_lines, n_pages) of the blocks of sources that are larger than an array, by their length."""
+    lines = F.filter(F.transform("ids", lambda x, no: F.struct(no.alias("line_no"), x.alias("line"))), lambda x: x["line"] != 0)
+    each = large.select("page_id", "site", F.posexplode(lines).alias("i", "x")).select("page_id", "site", "i", "x.line_no", "x.line")
+    pages = _on_enough_pages(each, large, least_pages).groupBy("site", "page_id").agg(F.sort_array(F.collect_list(F.struct("i", "line_no", "line"))).alias("x"))  # bounded by the page
+    starts = cut(pages.select("site", "page_id", "x.i", "x.line_no", "x.line", F.sequence(F.lit(0), F.size("x") - 1).alias("at")))
+    depth, width, parts = 0, WINDOW, []
+    while not starts.isEmpty():
+        rows = starts.mapInArrow(_windows(depth, width, AT_ONCE), "site bigint, key bigint, page_id bigint, line_no int, before bigint, again boolean, lines array<bigint>")
+        rows = rows.repartition("site", "key").sortWithinPartitions("site", "key", "lines")
+        parts.append(rows.mapInArrow(_sorted_blocks(depth, width, least_pages, AT_ONCE), "site bigint, page_id bigint, line_no int, n_lines bigint, n_pages bigint"))
+        depth, width = depth + width, 2 * width
+        # those that go on, on enough pages; if the same line is before all of a key, no block begins there, however long
+        keys = starts.mapInArrow(_keys(depth), "site bigint, key bigint, page_id bigint, at int, before bigint, first bigint")
+        alive = keys.groupBy("site", "key").agg(F.sum("first").alias("n"), F.count(F.lit(1)).alias("m"), F.count("before").alias("b"), F.min("before").alias("low"), F.max("before").alias("high"))
+        alive = alive.where((F.col("n") >= least_pages) & ((F.col("b") < F.col("m")) | (F.col("low") != F.col("high")))).select("site", "key")
+        at = split_join(keys, alive, ["site", "key"], "left_semi").groupBy("site", "page_id").agg(F.collect_list("at").alias("at"))
+        starts = cut(starts.drop("at").join(at, ["site", "page_id"]))
+    return parts
 
 
 def repeated_blocks(page_content: DataFrame, pages: DataFrame, crawls: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -279,12 +496,10 @@ def repeated_blocks(page_content: DataFrame, pages: DataFrame, crawls: DataFrame
     or after goes with all its occurrences, else the longer block is given in its place. Lines, pages and empty tables as in ``repeated_lines``.
     """
     small, large = _chunked(page_content, pages, crawls, least_pages)
-    names = ["site", "block", "n_lines", "n_pages", "page_id", "line_no"]
-    kinds = "site bigint, block bigint, n_lines bigint, n_pages bigint, page_id bigint, line_no int"
-    found = _together(small).mapInArrow(_arrays(_report_blocks(least_pages), names), kinds)
-    parts = _together(large).mapInArrow(_arrays(_report_blocks(2), names), kinds)
-    merged = parts.groupBy("site", "block", "n_lines").agg(F.sum("n_pages").alias("n_pages"), F.min(F.struct("page_id", "line_no")).alias("at")).where(F.col("n_pages") >= least_pages)
-    both = found.select("site", "page_id", "line_no", "n_lines", "n_pages").unionByName(merged.select("site", "at.page_id", "at.line_no", "n_lines", "n_pages"))
+    columns = ["site", "page_id", "line_no", "n_lines", "n_pages"]
+    both = _together(small).mapInArrow(_arrays(_report_blocks(least_pages), columns), "site bigint, page_id bigint, line_no int, n_lines bigint, n_pages bigint")
+    for part in _blocks_of_large(large, least_pages):
+        both = both.unionByName(part)
     names = small.select("site", "source").unionByName(large.select("site", "source")).distinct()
     return both.join(names, "site").select("source", "page_id", "line_no", "n_lines", "n_pages")
 

@@ -130,6 +130,31 @@ def test_repeated_blocks(make, monkeypatch):
     assert parts and all(n >= 6 for n in parts.values())
 
 
+@pytest.mark.parametrize("array_lines, window, at_once", [(10**9, 16, 1 << 20), (170, 16, 1 << 20), (40, 2, 50), (1, 1, 1)])
+def test_blocks_are_the_same_however_large_a_source_is_held_to_be(make, monkeypatch, array_lines, window, at_once):
+    monkeypatch.setattr(site_lines, "ARRAY_LINES", array_lines)
+    monkeypatch.setattr(site_lines, "WINDOW", window)
+    monkeypatch.setattr(site_lines, "AT_ONCE", at_once)
+    rng = random.Random(5)
+    menu = [say(rng, 3) for _ in range(7)]
+    pages = []
+    for p in range(80):
+        own = [say(rng, 9) for _ in range(3)]
+        ends = rng.choice([menu[:4], menu[2:], menu, [menu[0]] * rng.randint(1, 5), [menu[1], menu[0]] * 3])  # parts of a block, and lines that follow themselves
+        pages.append((1000 - p, own[:1] + menu[:3] + ["short", ""] + menu[3 : rng.randint(3, 6)] + own[1:] + rng.choice([ends, ends + own[:1], ends + menu[:2]])))
+    pages += [(2000 + p, [f"line {w} of a long text" for w in WORDS]) for p in range(8)]
+    pages += [(2100 + p, own + [menu[5]] * (20 + p % 3) + menu[5 - p % 4 :]) for p in range(9)]
+    pages += [(3000, []), (3001, ["", "short"])]
+    tables = make([(p, None, "\n".join(x)) for p, x in pages], CONTENT), make([(p, f"c{p % 2}") for p, _ in pages], "id long, crawl_id string"), make([("c0", "a.example"), ("c1", "b.example")], "id string, target_domain string")
+    want = set()
+    for c, site in enumerate(("a.example", "b.example")):
+        kept = {p: [(no, f) for no, line in enumerate(x) if len(f := form(line)) >= 8] for p, x in pages if p % 2 == c}
+        for block, (n, (page, i)) in brute_blocks([(p, [f for _, f in x]) for p, x in kept.items()], 4).items():
+            want.add((site, page, kept[page][i][0], len(block), n))
+    got = [tuple(r) for r in site_lines.repeated_blocks(*tables, least_pages=4).collect()]
+    assert set(got) == want and len(got) == len(want) > 40 and max(x[3] for x in want) >= len(WORDS)
+
+
 def test_a_hot_line_of_a_hot_source_is_matched_by_many_tasks(spark, skewed):
     each = spark.range(0, 90_000, 1, 12).selectExpr("id", "1L as site", "if(id % 3 = 0, 7L, xxhash64(id)) as line")
     repeated = each.groupBy("site", "line").count().where("count > 5").select("site", "line")
